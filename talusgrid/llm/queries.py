@@ -5,25 +5,110 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Edits that a leaked passage may have, as a share of its characters.
+LEAK_RATE = 0.1
+#: Score from which a text counts as toxic.
+TOXIC = 0.7
+#: Words in a packed bin.
+CAPACITY = 2048
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def held_out(modulus: int, remainder: int):
+    """Whether crc32 of the id as text leaves the remainder; a null id doesn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), LEAK_RATE)
+
+
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.kneser_ney import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(7, 2).alias("held_out"))
+    return score(docs, train(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.pivot_topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talusgrid.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), similarity=(85, 100), width=5)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(3, 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(~held_out(3, 1))
+    scored = score(docs, train(docs.where("not held_out"), labels), ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), CAPACITY)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talusgrid.llm.language_id import predict, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(5, 0)).select("doc_id", "text", "lang", "held_out")
+    return predict(docs, train(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_kneser_ney, op3_license_scan, op4_pivot_topk, op5_near_dedup, op6_toxicity, op7_url_filter, op8_secret_scan, op9_pack, op10_language_id)}
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 ORACLE = {
+    "op4_pivot_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+    """,
     "op5_near_dedup": f"""
         WITH RECURSIVE
         w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
