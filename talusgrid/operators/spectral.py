@@ -93,9 +93,10 @@ def _nulls(df: DataFrame, *bands: str) -> DataFrame:
 
 def quadratic_coefficients(grid: Grid, scale: float, fix_center: bool = False, tile: int = 256) -> Grid:
     """Bands a, b, c, d, e (and f): the quadratic surface fitted to z minus its centre value in each cell's window."""
-    pad = int(math.floor(scale / grid.geo.dx + 1e-9))
+    dx = grid.geo.dx
+    pad = int(math.floor(scale / dx + 1e-9))
     names = ["a", "b", "c", "d", "e"] + ([] if fix_center else ["f"])
-    rows = _by_tile(grid, pad, tile, lambda z, r0, c0: _frame(r0, c0, **dict(zip(names, _fit(z, scale, grid.geo.dx, fix_center, pad), strict=True))), "row long, col long, " + ", ".join(f"{n} double" for n in names))
+    rows = _by_tile(grid, pad, tile, lambda z, r0, c0: _frame(r0, c0, **dict(zip(names, _fit(z, scale, dx, fix_center, pad), strict=True))), "row long, col long, " + ", ".join(f"{n} double" for n in names))
     return Grid(_nulls(rows, *names), grid.geo)
 
 

@@ -71,7 +71,7 @@ CHI = (
     AREA
     + OUTLETS
     + """, cx AS (
-    SELECT ol.id AS cell, pow(100000.0 / a, 0.45) * 30 AS chi FROM ol JOIN ar ON ar.id = ol.id
+    SELECT ol.id AS cell, CAST(pow(100000.0 / a, 0.45) * 30 AS DOUBLE) AS chi FROM ol JOIN ar ON ar.id = ol.id
     UNION ALL
     SELECT ed.src, cx.chi + pow(100000.0 / ar.a, 0.45) * 30 * CASE WHEN code IN (2, 8, 32, 128) THEN 1.414 ELSE 1 END
     FROM cx JOIN ed ON ed.dst = cx.cell JOIN ar ON ar.id = ed.src WHERE ed.src NOT IN (SELECT id FROM ol)
@@ -194,5 +194,5 @@ ORACLE: dict[str, str] = {
     "opening": cells("v", "m0e0d0", G, f", m0 AS (SELECT r, c, {_BAND} AS v FROM g)" + _morph(False, 1) + _morph(True, 1, "m0e0")),
     "mask_flood": f"WITH RECURSIVE {G}{OUTLETS}, open AS (SELECT r * nx + c AS id, r, c FROM g, sz WHERE z >= 1000 OR (r % 50 = 25 AND c = 32)), wet AS (SELECT open.* FROM open JOIN ol USING (id) UNION SELECT o.* FROM wet JOIN open o ON o.r BETWEEN wet.r - 1 AND wet.r + 1 AND o.c BETWEEN wet.c - 1 AND wet.c + 1) SELECT g.r AS \"row\", g.c AS col, CASE WHEN wet.id IS NULL THEN 0 ELSE 1 END AS v FROM g CROSS JOIN sz LEFT JOIN wet ON wet.id = g.r * nx + g.c",
     "outlet_upsert": "SELECT prefix, name, CAST(x AS BIGINT) AS x FROM (SELECT *, row_number() OVER (PARTITION BY prefix, name ORDER BY k DESC) AS n FROM (SELECT r_name AS prefix, n_name AS name, n_nationkey AS x, 0 AS k FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, n_name, n_nationkey + 100, 1 FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey = 1)) WHERE n = 1",
-    "ks_regression": f"WITH RECURSIVE {D8}{AREA}{OUTLETS}, cx AS (SELECT ol.point, ol.id AS cell, 0.0 AS chi, g.z AS z0 FROM ol CROSS JOIN sz JOIN g ON g.r * nx + g.c = ol.id UNION ALL SELECT cx.point, ed.src, cx.chi + pow(100000.0 / ar.a, 0.45) * 30 * CASE WHEN code IN (2, 8, 32, 128) THEN 1.414 ELSE 1 END, cx.z0 FROM cx JOIN ed ON ed.dst = cx.cell JOIN ar ON ar.id = ed.src JOIN ol ON ol.id <> ed.src AND ol.point = cx.point) SELECT point, {q('sum(chi * (g.z - z0)) / nullif(sum(chi * chi), 0)')} AS ks FROM cx CROSS JOIN sz JOIN g ON g.r * nx + g.c = cx.cell GROUP BY point",
+    "ks_regression": f"WITH RECURSIVE {D8}{AREA}{OUTLETS}, cx AS (SELECT ol.point, ol.id AS cell, CAST(0 AS DOUBLE) AS chi, g.z AS z0 FROM ol CROSS JOIN sz JOIN g ON g.r * nx + g.c = ol.id UNION ALL SELECT cx.point, ed.src, cx.chi + pow(100000.0 / ar.a, 0.45) * 30 * CASE WHEN code IN (2, 8, 32, 128) THEN 1.414 ELSE 1 END, cx.z0 FROM cx JOIN ed ON ed.dst = cx.cell JOIN ar ON ar.id = ed.src JOIN ol ON ol.id <> ed.src AND ol.point = cx.point) SELECT point, {q('sum(chi * (g.z - z0)) / nullif(sum(chi * chi), 0)')} AS ks FROM cx CROSS JOIN sz JOIN g ON g.r * nx + g.c = cx.cell GROUP BY point",
 }
