@@ -27,7 +27,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.8, 1.0, 2e-3, 1e-4
 #: Most distinct languages; more can't be what the column means.
 LANGUAGES = 2000
 _LETTER = re.compile(r"[^\W\d_]")
-_ROWS = 256
+_ROWS = 128
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +89,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 7, batch: int = 16) -> np.ndarray:
-    """Weights of a multinomial logistic regression by FTRL-proximal updates on small batches."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+def ftrl(x: np.ndarray, y: np.ndarray, classes: int, of: np.ndarray | None = None, seed: int = 7, batch: int = 16) -> np.ndarray:
+    """Weights of a multinomial logistic regression by FTRL-proximal updates on small batches of the rows ``of``; x has a constant last."""
     z, n = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
     target = np.eye(classes)[y]
     rng = np.random.default_rng(seed)
@@ -100,7 +99,7 @@ def ftrl(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 7, batch: int =
         return np.where(np.abs(z) <= L1, 0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
+        order = rng.permutation(np.arange(len(x)) if of is None else of)
         for a in range(0, len(order), batch):
             rows = order[a : a + batch]
             w = weights()
@@ -183,11 +182,13 @@ def train(rows: DataFrame) -> Model | None:
     counts = np.zeros((len(chosen), FEATURES), dtype=np.uint16)
     for i, r in enumerate(chosen):
         counts[i, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.uint16)
-    x = weighted(counts, idf)
+    x = np.ones((len(chosen), FEATURES + 1), dtype=np.float32)
+    for a in range(0, len(chosen), _ROWS):
+        x[a : a + _ROWS, :-1] = weighted(counts[a : a + _ROWS], idf)
     y = np.asarray([languages.index(r.lang) for r in chosen])
     apart = np.arange(len(y)) % 5 == 0 if len(y) >= 20 else np.zeros(len(y), bool)
-    w = ftrl(x[~apart], y[~apart], len(languages)).astype(np.float32)
-    return Model(languages, idf, w, best_temperature(x[apart] @ w[:-1] + w[-1], y[apart]))
+    w = ftrl(x, y, len(languages), np.flatnonzero(~apart)).astype(np.float32)
+    return Model(languages, idf, w, best_temperature(x[apart] @ w, y[apart]))
 
 
 def _predicted(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the NumPy kernels take at once (they use about 40 bytes for each).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that go to and from a Python worker at once: whole texts are long, and a worker holds a few batches.
+BATCH_ROWS = 1000
 #: Most rows of ids (16 bytes each at most) that are broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 
@@ -163,7 +165,17 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    """``mapInArrow`` in batches of BATCH_ROWS, after which a worker gives freed memory back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, out in enumerate(f(batches)):
+            yield out
+            if i % 16 == 15:
+                pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def is_mappable(path: str) -> bool:
