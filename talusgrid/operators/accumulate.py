@@ -86,7 +86,8 @@ def path_from_outlet(length: Grid, outlets: DataFrame) -> DataFrame:
     jump = checkpointed(length.cells.where("donor is not null").select(geo.cell_id().alias("id"), F.col("donor").alias("j")))
     paths = checkpointed(outlet_ids(length, outlets).select("point", F.lit(0).cast("long").alias("seq"), "id"))
     for k in range((geo.nx * geo.ny).bit_length() + 1):
-        more = checkpointed(paths.join(jump, "id").select("point", (F.col("seq") + (1 << k)).alias("seq"), F.col("j").alias("id")))
+        more = paths.join(jump, "id").select("point", (F.col("seq") + (1 << k)).alias("seq"), F.col("j").alias("id"))
+        more = checkpointed(more.join(paths.select("point", "id"), ["point", "id"], "left_anti"))
         if more.isEmpty():
             break
         paths = checkpointed(paths.unionByName(more))

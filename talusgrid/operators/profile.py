@@ -122,8 +122,7 @@ def _chi_of(area: np.ndarray, de: np.ndarray, bent: np.ndarray, theta: float) ->
 def theta_with_smoothing(elevation: Grid, area: Grid, directions: Grid, min_area: float, vertical_interval: float | None = None, horizontal_interval: float | None = None, compat: bool = True) -> Grid:
     """As ``ks_with_smoothing`` with the concavity theta that leaves the least squares, searched from 0.5 within +-10."""
     paths = checkpointed(window_paths(elevation, area, directions, vertical_interval, horizontal_interval, min_area, F.col("a") > min_area))
-    p = F.col("points")
-    flat = paths.select("center", *[F.transform(p, lambda x, c=c: x[c].cast("double")).alias(c) for c in ("z", "a", "de", "row", "col")])
+    flat = paths.select("center", *[F.col(f"points.{c}").cast("array<double>").alias(c) for c in ("z", "a", "de", "row", "col")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
