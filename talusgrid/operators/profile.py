@@ -298,6 +298,19 @@ def chi_map(elevation: Grid, directions: Grid, area: Grid, outlet: DataFrame, mi
     return tree.join(sums, ["point", "cell"]).join(base, "point").select("point", "row", "col", "chi", (F.col("elevation") - F.col("base")).alias("elevation"))
 
 
+def downstream_profile(elevation: Grid, directions: Grid, starts: DataFrame, downstream: bool = True, start_at: float = 0.0) -> DataFrame:
+    """(point, seq, row, col, length, elevation) along the way down from each start; upstream, lengths fall from ``start_at``."""
+    from talusgrid.operators.flow import downstream_paths
+
+    path = downstream_paths(directions, starts).join(elevation.renamed("elevation"), ["row", "col"], "left")
+    return path.select("point", "seq", "row", "col", (F.col("distance") * (1.0 if downstream else -1.0) + start_at).alias("length"), "elevation")
+
+
+def upstream_profile(elevation: Grid, directions: Grid, area: Grid, outlets: DataFrame, minimum_area: float = 1e6, start_at: float = 0.0, downstream: bool = False) -> DataFrame:
+    """(point, row, col, chi, elevation) above each outlet with the length of the way as ``chi``."""
+    return chi_map(elevation, directions, area, outlets, minimum_area, 0.0, start_at, downstream, 1.0)
+
+
 def profile_segments(tree: DataFrame, x: str, y: str) -> DataFrame:
     """(point, cell, x0, y0, x1, y1) from each parent to its child, for drawing."""
     above = tree.select("point", F.col("cell").alias("parent"), F.col(x).alias("x0"), F.col(y).alias("y0"))

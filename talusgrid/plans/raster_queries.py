@@ -343,6 +343,12 @@ def downstream_path(spark, d):
     return flow.downstream_paths(fd, outlets(z)).select("point", "seq", "row", "col", micro("distance").alias("distance"))
 
 
+@query
+def downstream_profile(spark, d):
+    z, fd = drained(spark, d)
+    return profile.downstream_profile(z, fd, outlets(z)).select("point", "seq", micro("length").alias("length"), whole("elevation").alias("elevation"))
+
+
 @query
 def mask_flood(spark, d):
     z = surface(spark, d)
@@ -372,7 +378,8 @@ def paired_hollows(spark, d):
 @query
 def upstream_tree(spark, d):
     z, fd = drained(spark, d)
-    return flow.upstream_tree(fd, outlets(z), {"elevation": z})
+    tree = flow.upstream_tree(fd, outlets(z), {"elevation": z})
+    return tree.withColumns({"distance_scale": micro("distance_scale"), "step_scale": micro("step_scale"), "elevation": whole("elevation")})
 
 
 # -- accumulation -----------------------------------------------------------------------------

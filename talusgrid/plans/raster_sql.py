@@ -196,3 +196,35 @@ ORACLE: dict[str, str] = {
     "outlet_upsert": "SELECT prefix, name, CAST(x AS BIGINT) AS x FROM (SELECT *, row_number() OVER (PARTITION BY prefix, name ORDER BY k DESC) AS n FROM (SELECT r_name AS prefix, n_name AS name, n_nationkey AS x, 0 AS k FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, n_name, n_nationkey + 100, 1 FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey = 1)) WHERE n = 1",
     "ks_regression": f"WITH RECURSIVE {D8}{AREA}{OUTLETS}, cx AS (SELECT ol.point, ol.id AS cell, CAST(0 AS DOUBLE) AS chi, g.z AS z0 FROM ol CROSS JOIN sz JOIN g ON g.r * nx + g.c = ol.id UNION ALL SELECT cx.point, ed.src, cx.chi + pow(100000.0 / ar.a, 0.45) * 30 * CASE WHEN code IN (2, 8, 32, 128) THEN 1.414 ELSE 1 END, cx.z0 FROM cx JOIN ed ON ed.dst = cx.cell JOIN ar ON ar.id = ed.src JOIN ol ON ol.id <> ed.src AND ol.point = cx.point) SELECT point, {q('sum(chi * (g.z - z0)) / nullif(sum(chi * chi), 0)')} AS ks FROM cx CROSS JOIN sz JOIN g ON g.r * nx + g.c = cx.cell GROUP BY point",
 }
+
+_INNER = "BETWEEN 1 AND ny - 2 AND {c} BETWEEN 1 AND nx - 2"
+_RING = "(VALUES (100, 400, 1500, 700), (1500, 700, 1200, 9000), (1200, 9000, 200, 8000), (200, 8000, 100, 400), (400, 2000, 800, 2000), (800, 2000, 800, 4000), (800, 4000, 400, 4000), (400, 4000, 400, 2000)) AS e(x0, y0, x1, y1)"
+
+
+def _curvature() -> str:
+    """Weights of the quadratic fit in a 5 x 5 window, from the normal equations."""
+    from talusgrid.operators.spectral import inverse_normal
+
+    h, u = inverse_normal(60.0, 30.0)
+    rows, n = [], len(u) // 2
+    for i in range(-n, n + 1):
+        for j in range(-n, n + 1):
+            x, y = j * 30.0, -i * 30.0
+            a, b, c = (sum(w * t for w, t in zip(h[k], (x * x, y * y, x * y, x, y, 1.0), strict=True)) for k in range(3))
+            rows.append(f"({i}, {j}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({c!r} AS DOUBLE))".replace("np.float64(", "").replace(") AS", " AS"))
+    return "o(i, j, wa, wb, wc) AS (VALUES " + ", ".join(rows) + ")"
+
+
+ORACLE |= {
+    "moving_median": f"WITH {G}, {_kernel('true', '-1, 2')} SELECT r - i AS \"row\", c - j AS col, {q('median(z)')} AS v FROM g, sz, o WHERE r - i BETWEEN 0 AND ny - 1 AND c - j BETWEEN 0 AND nx - 1 GROUP BY 1, 2",
+    "downstream_path": f"WITH RECURSIVE {D8}{OUTLETS}, dp AS (SELECT point, CAST(0 AS BIGINT) AS seq, id, CAST(0 AS DOUBLE) AS d, [id] AS seen FROM ol UNION ALL SELECT dp.point, dp.seq + 1, ed.dst, dp.d + 30 * CASE WHEN code IN (2, 8, 32, 128) THEN CAST(1.414 AS DOUBLE) ELSE 1 END, list_append(seen, ed.dst) FROM dp JOIN ed ON ed.src = dp.id CROSS JOIN sz WHERE NOT list_contains(seen, ed.dst) AND r2 {_INNER.format(c='c2')}) SELECT point, seq, id // nx AS \"row\", id % nx AS col, {q('d')} AS distance FROM dp, sz WHERE id // nx {_INNER.format(c='id % nx')}",
+    "longest_path": f"WITH RECURSIVE {D8}{LENGTH}{OUTLETS}, lp AS (SELECT point, CAST(0 AS BIGINT) AS seq, id, [id] AS seen FROM ol UNION ALL SELECT lp.point, lp.seq + 1, fl.donor, list_append(seen, fl.donor) FROM lp JOIN fl ON fl.id = lp.id WHERE fl.donor IS NOT NULL AND NOT list_contains(seen, fl.donor)) SELECT point, seq, id // nx AS \"row\", id % nx AS col FROM lp, sz",
+    "points_with_length": f"WITH RECURSIVE {D8}{LENGTH} SELECT ed.r AS \"row\", ed.c AS col, CAST(ed.c * 30 AS DOUBLE) AS x, CAST((ny - 1 - ed.r) * 30 AS DOUBLE) AS y FROM ed CROSS JOIN sz JOIN fl a ON a.id = ed.src JOIN fl b ON b.id = ed.dst WHERE a.l <= 100 AND b.l >= 100 AND a.l >= 40",
+    "coastline_outlets": cells("CAST(c * 30 AS DOUBLE) AS x, CAST((ny - 1 - r) * 30 AS DOUBLE) AS y", "m0d2 JOIN m0e2 USING (r, c) CROSS JOIN sz WHERE m0d2.v + m0e2.v = 1", G, ", m0 AS (SELECT r, c, CAST(z > 1000 AS INTEGER) AS v FROM g)" + _morph(True, 3) + _morph(False, 3)),
+    "polygon_mask": f"WITH {G}, p AS (SELECT r, c, c * 30.0 AS x, (ny - 1 - r) * 30.0 AS y FROM g, sz) SELECT r AS \"row\", c AS col, CAST(count(x0) % 2 AS INTEGER) AS v FROM p LEFT JOIN {_RING} ON least(y0, y1) <= y AND y < greatest(y0, y1) AND x0 + (y - y0) * CAST(x1 - x0 AS DOUBLE) / (y1 - y0) > x GROUP BY r, c",
+    "quadratic_curvature": f"WITH {G}, {_curvature()}, s AS (SELECT (r - i + ny) % ny AS r, (c - j + nx) % nx AS c, sum(z * wa) AS a, sum(z * wb) AS b, sum(z * wc) AS k FROM g, sz, o GROUP BY 1, 2), t AS (SELECT sum(wa) AS ta, sum(wb) AS tb, sum(wc) AS tk FROM o), f AS (SELECT r, c, a - ta * z AS a, b - tb * z AS b, k - tk * z AS k FROM s JOIN g USING (r, c), t) SELECT r AS \"row\", c AS col, {q('-a - b - sqrt((a - b) * (a - b) + k * k)')} AS v FROM f",
+    "sinusoid": f"WITH {G}, w AS (SELECT r, c, 5 * sin(2 * pi() * 4 * c / CAST(nx - 1 AS DOUBLE)) AS v FROM g, sz) SELECT r AS \"row\", c AS col, {q('v + (SELECT abs(min(v)) FROM w)')} AS v FROM w",
+    "ascii_export": f"WITH {G} SELECT r AS \"row\", string_agg(printf('%10.2f', z), ' ' ORDER BY c) AS line FROM g GROUP BY r",
+    "upstream_tree": f"WITH RECURSIVE {D8}{OUTLETS}, tr AS (SELECT point, id AS cell, CAST(NULL AS BIGINT) AS parent, CAST(0 AS BIGINT) AS depth FROM ol UNION ALL SELECT tr.point, ed.src, ed.dst, tr.depth + 1 FROM tr JOIN ed ON ed.dst = tr.cell JOIN ol ON ol.point = tr.point AND ol.id <> ed.src), ds AS (SELECT dst, scale FROM (SELECT dst, scale, row_number() OVER (PARTITION BY dst ORDER BY list_position([16, 32, 64, 128, 1, 2, 4, 8], code) DESC) AS k FROM ed) WHERE k = 1) SELECT point, cell, parent, depth, g.r AS \"row\", g.c AS col, {q('coalesce(ds.scale, 1)')} AS distance_scale, {q('coalesce(ed.scale, 1)')} AS step_scale, CAST(g.z AS BIGINT) AS elevation FROM tr CROSS JOIN sz JOIN g ON g.r * nx + g.c = tr.cell LEFT JOIN ds ON ds.dst = tr.cell LEFT JOIN ed ON ed.src = tr.cell",
+    "ksi": f"WITH RECURSIVE {D8}{AREA}{LENGTH[LENGTH.index(', ml AS'):]}{_RELIEF_ORDER}, own AS MATERIALIZED (SELECT ar.id, CASE WHEN a > 2000 THEN pow(2000.0 / (a - 2000.0), 0.45) * 30 * coalesce(ed.scale, 1) ELSE 0 END AS k FROM ar LEFT JOIN ed ON ed.src = ar.id), ks AS MATERIALIZED (SELECT hd.cell, sum(own.k) AS k FROM hd JOIN own ON own.id = hd.top GROUP BY hd.cell), fin AS (SELECT a.cell, a.k + coalesce(b.k, 0) AS k FROM ks a LEFT JOIN fl ON fl.id = a.cell AND NOT fl.fwd LEFT JOIN ks b ON b.cell = fl.donor) SELECT cell // nx AS \"row\", cell % nx AS col, {q('k')} AS v FROM fin, sz",
+}
