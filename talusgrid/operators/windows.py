@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from talusgrid.grid import Grid
 from talusgrid.operators.neighbours import tiled, under_kernel
@@ -36,18 +36,33 @@ def moving_window(grid: Grid, offsets: Offsets, function: str | Column | Callabl
     ``k``), or is a Python function of a pandas Series.
     """
     if callable(function) and not isinstance(function, Column):
-        aggregate = pandas_udf(_series_function(function), "double")(F.col("v"))
-    else:
-        aggregate = function if isinstance(function, Column) else F.expr(f"{function}(v)")
+        return _python_window(grid, offsets, function)
+    aggregate = function if isinstance(function, Column) else F.expr(f"{function}(v)")
     found = under_kernel(grid, offsets, [aggregate.alias("value")])
     return Grid(grid.cells.select("row", "col").join(found, ["row", "col"], "left"), grid.geo)
 
 
-def _series_function(call: Callable[[pd.Series], float]):
-    def run(v: pd.Series) -> float:
-        return float(call(v))
+def _python_window(grid: Grid, offsets: Offsets, call: Callable[[pd.Series], float]) -> Grid:
+    """A Python function of the values around each cell, a tile with its halo at a time."""
+    di, dj = (np.asarray([o[k] for o in offsets]) for k in (0, 1))
+    pad = int(max(np.abs(di).max(), np.abs(dj).max()))
 
-    return run
+    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(cells["row"].min()) - pad, int(cells["col"].min()) - pad
+        r, c = cells["row"].to_numpy() - r0, cells["col"].to_numpy() - c0
+        z = np.full((r.max() + pad + 1, c.max() + pad + 1), np.nan)
+        z[r, c] = cells["value"].to_numpy()
+        own = cells["own"].to_numpy()
+        out = np.full(int(own.sum()), np.nan)
+        for n, (i, j) in enumerate(zip(r[own], c[own], strict=True)):
+            v = z[i + di, j + dj]
+            v = v[~np.isnan(v)]
+            if len(v):
+                out[n] = call(pd.Series(v))
+        return cells.loc[own, ["row", "col"]].assign(value=out)
+
+    dealt = tiled(grid.cells.select("row", "col", "value"), pad, pad).groupBy("tr", "tc").applyInPandas(run, "row long, col long, value double")
+    return Grid(dealt.select("row", "col", F.when(~F.isnan("value"), F.col("value")).alias("value")), grid.geo)
 
 
 def rectangular_mean(grid: Grid, radius: float) -> Grid:
