@@ -19,6 +19,8 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 #: Most rows of ids (16 bytes each at most) that are broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
+#: A node with more neighbours than both this many and this share of all edges is broadcast as the centre of a star.
+STAR_ROWS, STAR_SHARE = 200, 1e-4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -149,8 +151,13 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     before = print_of(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        # centres of large stars go out to their rows: at most 2 / STAR_SHARE nodes, whatever the input
+        many = max(STAR_ROWS, int(before[0] * STAR_SHARE))
+        tagged = both.join(F.broadcast(least.where(F.col("n") > many).select("a", F.col("m").alias("centre"))), "a", "left")
+        others = tagged.where("centre is null").join(least.where(F.col("n") <= many).select("a", "m"), "a")
+        starred = tagged.where("centre is not null").select("a", "b", F.col("centre").alias("m")).unionByName(others.select("a", "b", "m"))
+        large = starred.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e"))
         now = stored(pairs.select("e.a", "e.b").where("a <> b").distinct(), "stars")
