@@ -228,3 +228,24 @@ ORACLE |= {
     "upstream_tree": f"WITH RECURSIVE {D8}{OUTLETS}, tr AS (SELECT point, id AS cell, CAST(NULL AS BIGINT) AS parent, CAST(0 AS BIGINT) AS depth FROM ol UNION ALL SELECT tr.point, ed.src, ed.dst, tr.depth + 1 FROM tr JOIN ed ON ed.dst = tr.cell JOIN ol ON ol.point = tr.point AND ol.id <> ed.src), ds AS (SELECT dst, scale FROM (SELECT dst, scale, row_number() OVER (PARTITION BY dst ORDER BY list_position([16, 32, 64, 128, 1, 2, 4, 8], code) DESC) AS k FROM ed) WHERE k = 1) SELECT point, cell, parent, depth, g.r AS \"row\", g.c AS col, {q('coalesce(ds.scale, 1)')} AS distance_scale, {q('coalesce(ed.scale, 1)')} AS step_scale, CAST(g.z AS BIGINT) AS elevation FROM tr CROSS JOIN sz JOIN g ON g.r * nx + g.c = tr.cell LEFT JOIN ds ON ds.dst = tr.cell LEFT JOIN ed ON ed.src = tr.cell",
     "ksi": f"WITH RECURSIVE {D8}{AREA}{LENGTH[LENGTH.index(', ml AS'):]}{_RELIEF_ORDER}, own AS MATERIALIZED (SELECT ar.id, CASE WHEN a > 2000 THEN pow(2000.0 / (a - 2000.0), 0.45) * 30 * coalesce(ed.scale, 1) ELSE 0 END AS k FROM ar LEFT JOIN ed ON ed.src = ar.id), ks AS MATERIALIZED (SELECT hd.cell, sum(own.k) AS k FROM hd JOIN own ON own.id = hd.top GROUP BY hd.cell), fin AS (SELECT a.cell, a.k + coalesce(b.k, 0) AS k FROM ks a LEFT JOIN fl ON fl.id = a.cell AND NOT fl.fwd LEFT JOIN ks b ON b.cell = fl.donor) SELECT cell // nx AS \"row\", cell % nx AS col, {q('k')} AS v FROM fin, sz",
 }
+
+#: The cells of two sets of outlets' basins, and those of either with a four-neighbour in the other or shared with it.
+_BOUNDARY = """, mk AS (SELECT DISTINCT CAST(CASE WHEN point % 100 = 25 THEN 0 ELSE 1 END AS INTEGER) AS side, cell // nx AS r, cell % nx AS c FROM up, sz
+), bd AS (
+    SELECT DISTINCT x.side, x.r, x.c FROM mk x CROSS JOIN (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) AS o(i, j) JOIN mk y ON y.side = 1 - x.side AND y.r = x.r + i AND y.c = x.c + j
+)"""
+
+#: Cells that a channel of 5,000 or more reaches over eight-connected cells of a Laplacian of at least 0.02.
+_WET = f""", lp AS (SELECT r, c, ({' + '.join(_EDGE.values())} - z * 4) / 900.0 AS k FROM nb
+), chn AS (SELECT id FROM ar WHERE a >= 5000
+), opn AS MATERIALIZED (SELECT r * nx + c AS id, r, c FROM lp, sz WHERE k >= 0.02 OR r * nx + c IN (SELECT id FROM chn)
+), wet AS (SELECT opn.* FROM opn JOIN chn USING (id) UNION SELECT o.* FROM wet CROSS JOIN (SELECT i, j FROM range(-1, 2) t(i), range(-1, 2) u(j)) n JOIN opn o ON o.r = wet.r + n.i AND o.c = wet.c + n.j)"""
+
+ORACLE |= {
+    "downstream_profile": ORACLE["downstream_path"].replace(f"id // nx AS \"row\", id % nx AS col, {q('d')} AS distance FROM dp, sz", f"{q('d')} AS length, CAST(g.z AS BIGINT) AS elevation FROM dp CROSS JOIN sz JOIN g ON g.r = id // nx AND g.c = id % nx"),
+    "basin_boundary": f"WITH RECURSIVE {D8}{UPSTREAM}{_BOUNDARY} SELECT side, r AS \"row\", c AS col FROM bd",
+    "paired_hollows": f"WITH RECURSIVE {D8}{AREA}{UPSTREAM}{_BOUNDARY}, cr AS MATERIALIZED (SELECT ed.src AS id, ed.dst FROM ed JOIN ar x ON x.id = ed.src JOIN ar y ON y.id = ed.dst WHERE x.a < 5000 AND y.a >= 5000), wk AS (SELECT side, r * nx + c AS id FROM bd, sz UNION SELECT wk.side, ed.dst FROM wk JOIN ed ON ed.src = wk.id WHERE wk.id NOT IN (SELECT id FROM cr)) SELECT DISTINCT side, CAST(cr.dst % nx * 30 AS DOUBLE) AS x, CAST((ny - 1 - cr.dst // nx) * 30 AS DOUBLE) AS y FROM wk JOIN cr USING (id), sz",
+    "scaled_relief": f"WITH RECURSIVE {D8}{AREA}{LENGTH[LENGTH.index(', ml AS'):]}, st AS MATERIALIZED (SELECT fl.id, fl.donor, fl.fwd FROM fl JOIN ar ON ar.id = fl.donor WHERE ar.a > 2000), hd AS (SELECT id AS cell, id AS top, 0 AS n FROM fl UNION ALL SELECT hd.cell, st.donor, hd.n + 1 FROM hd JOIN st ON st.id = hd.top AND st.fwd), tp AS (SELECT cell, arg_max(top, n) AS top FROM hd GROUP BY cell), late AS (SELECT st.id AS cell, tp.top FROM st JOIN tp ON tp.cell = st.donor WHERE NOT st.fwd), gg AS MATERIALIZED (SELECT r * nx + c AS id, r, c, z FROM g, sz) SELECT x.r AS \"row\", x.c AS col, {q('(t.z - x.z) * pow(2000.0, 0.45)')} AS v FROM tp LEFT JOIN late USING (cell) JOIN gg x ON x.id = tp.cell JOIN gg t ON t.id = coalesce(late.top, tp.top)",
+    "mainstem_valley_area": f"WITH RECURSIVE {D8}{AREA}{LENGTH[LENGTH.index(', ml AS'):]}{_WET}, gd AS MATERIALIZED (SELECT ed.src, ed.dst FROM ed JOIN ar ON ar.id = ed.src LEFT JOIN fl ON fl.id = ed.dst AND fl.donor = ed.src WHERE ed.fwd AND (fl.id IS NOT NULL OR a < 5000)), gw AS (SELECT src AS a, dst AS b FROM gd UNION ALL SELECT gw.a, gd.dst FROM gw JOIN gd ON gd.src = gw.b), sm AS (SELECT b, count(*) AS k FROM gw JOIN wet ON wet.id = gw.a GROUP BY b) SELECT g.r AS \"row\", g.c AS col, CAST(900 * (CASE WHEN wet.id IS NULL THEN 0 ELSE 1 END + coalesce(k, 0)) AS BIGINT) AS area FROM g CROSS JOIN sz LEFT JOIN wet ON wet.id = g.r * nx + g.c LEFT JOIN sm ON sm.b = g.r * nx + g.c",
+    "filled_elevation": f"WITH RECURSIVE {G}, cell AS MATERIALIZED (SELECT r * nx + c AS id, r, c, z FROM g, sz), lv(id, level) USING KEY (id) AS (SELECT id, CASE WHEN r IN (0, ny - 1) OR c IN (0, nx - 1) THEN z ELSE 1e300 END FROM cell, sz UNION SELECT y.id, min(greatest(lv.level, y.z)) FROM lv JOIN cell x ON x.id = lv.id CROSS JOIN (SELECT i, j FROM range(-1, 2) t(i), range(-1, 2) u(j) WHERE i <> 0 OR j <> 0) o JOIN cell y ON y.r = x.r + i AND y.c = x.c + j JOIN recurring.lv AS old ON old.id = y.id WHERE lv.level < 1e300 AND greatest(lv.level, y.z) < old.level GROUP BY y.id) SELECT r AS \"row\", c AS col, CAST(level AS BIGINT) AS v FROM cell JOIN lv USING (id)",
+}
