@@ -1,15 +1,17 @@
 """License scans by conditional compression.
 
-Blocks of text that may state a license are compressed with each template as a raw zstandard
-dictionary. The template that makes the block smallest, next to its size without any, ranks
-first; the best few are confirmed by the exact differences in wording.
+In blocks of text that may state a license, every template is confirmed by the exact differences
+in wording, wherever the block has it. Places are compressed with the template as a raw zstandard
+dictionary: of templates with equally many differences at a place, the one that makes it smallest,
+next to its size without any, ranks first.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -38,22 +40,31 @@ MARKS = ("licens", "licenc", "permission is hereby", "redistribution and use")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 #: Characters taken on either side of a mark in a line that is longer than twice that.
 SIDE = 600
-#: Templates confirmed per block, and the share of a template's words that may differ.
-BEST, MOST_CHANGED = 3, 0.2
+#: The share of a template's words that may differ.
+MOST_CHANGED = 0.2
+#: A difference in the costs of alignments; what is below it says where they start.
+_STEP = 1 << 32
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]) -> None:
-        self.words = {name: _WORD.findall(t.lower()) for name, t in templates.items()}
+        self.words = {name: w for name, t in templates.items() if (w := _WORD.findall(t.lower()))}
+        self.bags = {name: Counter(w) for name, w in self.words.items()}
+        self.most = {name: int(MOST_CHANGED * len(w) + 1e-9) for name, w in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=9)
         self.given = {name: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, t in templates.items()}
 
     @staticmethod
-    def blocks(text: str) -> list[tuple[int, int]]:
-        """Lines, or parts of very long lines, that have a mark; parts that touch are one block."""
+    def lower(text: str) -> str:
+        """The text in lower case, each letter at its place."""
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer would shift positions
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+        return low
+
+    @staticmethod
+    def blocks(low: str) -> list[tuple[int, int]]:
+        """Lines, or parts of very long lines, that have a mark; parts that touch are one block."""
         out: list[tuple[int, int]] = []
         for at in sorted(m.start() for mark in MARKS for m in re.finditer(re.escape(mark), low)):
             start, end = low.rfind("\n", 0, at) + 1, low.find("\n", at)
@@ -66,49 +77,102 @@ class Scanner:
                 out.append((start, end))
         return out
 
-    def reductions(self, block: str) -> list[tuple[float, str]]:
-        """How much smaller each template makes the block, as a share of its own size; best first."""
-        data = block.lower().encode()
-        alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, name) for name, c in self.given.items()), key=lambda r: (-r[0], r[1]))
-
-    def differences(self, name: str, block: str) -> list[str]:
-        """Words of the template that the block lacks (-word), and words amid the match it adds (+word)."""
-        have, want = _WORD.findall(block.lower()), self.words[name]
-        codes = SequenceMatcher(None, want, have, autojunk=False).get_opcodes()
-        inner = [i for i, c in enumerate(codes) if c[0] == "equal"]
-        if not inner:
-            return ["-" + w for w in want]
-        out = []
-        for i, (op, a, b, c, d) in enumerate(codes):
-            if op != "equal":
-                out += ["-" + w for w in want[a:b]]
-                if inner[0] < i < inner[-1]:
-                    out += ["+" + w for w in have[c:d]]
+    def reduction(self, name: str, low: str) -> float:
+        """How much smaller the template makes a text, as a share of its own size."""
+        data = low.encode(errors="replace")
+        return 1 - len(self.given[name].compress(data)) / len(self.plain.compress(data))
+
+    def places(self, name: str, have: list[str], start: int, end: int) -> list[tuple[int, int, int]]:
+        """(differences, first word, word after the last) of places among have[start:end] that are near enough to the template.
+
+        Of places that overlap, the one with the fewest differences, then the first. Differences
+        are words of the template that a place lacks and words amid it that it adds.
+        """
+        want, most = self.words[name], self.most[name]
+        if sum((self.bags[name] - Counter(have[start:end])).values()) > most:
+            return []
+        column = [i * _STEP - start for i in range(len(want) + 1)]
+        found = []
+        for j in range(start, end):
+            w, last, diagonal, above = have[j], column[-1], column[0], -(j + 1)
+            column[0] = above
+            for i, x in enumerate(want, 1):
+                left = column[i]
+                cost = (left if left < above else above) + _STEP
+                if x == w and diagonal < cost:
+                    cost = diagonal
+                column[i] = above = cost
+                diagonal = left
+            if above < last + _STEP and (n := -(-above // _STEP)) <= most:
+                found.append((n, n * _STEP - above, j + 1))
+        return _apart(sorted(found, key=lambda f: (f[0], f[2])))
+
+    def differences(self, name: str, have: list[str]) -> list[str]:
+        """Words of the template that the words of a place lack (-word), and words it adds (+word): as few as can be."""
+        want = self.words[name]
+        rest = [[0] * (len(have) + 1) for _ in range(len(want) + 1)]
+        for i in range(len(want), -1, -1):
+            for j in range(len(have), -1, -1):
+                if i == len(want) or j == len(have):
+                    rest[i][j] = len(want) - i + len(have) - j
+                else:
+                    rest[i][j] = rest[i + 1][j + 1] if want[i] == have[j] else 1 + min(rest[i + 1][j], rest[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(want) or j < len(have):
+            if i < len(want) and j < len(have) and want[i] == have[j]:
+                i, j = i + 1, j + 1
+            elif j == len(have) or (i < len(want) and rest[i + 1][j] <= rest[i][j + 1]):
+                out.append("-" + want[i])
+                i += 1
+            else:
+                out.append("+" + have[j])
+                j += 1
         return out
 
     def find(self, text: str | None) -> list[tuple[int, int, str, float, int, str]]:
-        """(start, end, license, reduction, number of differences, differences) of each block with a license."""
-        out = []
-        for start, end in self.blocks(text) if text else ():
-            block = text[start:end]
+        """(start, end, license, reduction, number of differences, differences) of each place that states a license.
+
+        Places don't overlap: fewer differences go first, then the larger reduction, then the
+        name. What is left between them is searched again until no template is confirmed.
+        """
+        if not text or not (blocks := self.blocks(low := self.lower(text))):
+            return []
+        at = [m.span() for m in _WORD.finditer(low)]
+        have, starts = [low[a:b] for a, b in at], [a for a, _ in at]
+        todo = [(bisect_left(starts, a), bisect_left(starts, b)) for a, b in blocks]
+        taken = []
+        while todo:
+            start, end = todo.pop()
             found = []
-            for gain, name in self.reductions(block)[:BEST]:
-                changed = self.differences(name, block)
-                if len(changed) <= MOST_CHANGED * len(self.words[name]):
-                    found.append((len(changed), -gain, name, changed))
-            if found:
-                n, gain, name, changed = min(found)
-                out.append((start, end, name, -gain, n, " ".join(changed)))
-        return out
+            for name in self.words:
+                for n, a, b in self.places(name, have, start, end):
+                    found.append((n, -self.reduction(name, low[at[a][0] : at[b - 1][1]]), name, a, b))
+            new = _apart([(*f[3:], f) for f in sorted(found)], 0)
+            taken += [f for *_, f in new]
+            if new:
+                edges = [start, *(x for a, b, _ in sorted(new) for x in (a, b)), end]
+                todo += [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+        return [(at[a][0], at[b - 1][1], name, -gain, n, " ".join(self.differences(name, have[a:b]))) for n, gain, name, a, b in sorted(taken, key=lambda f: f[3])]
+
+
+def _apart(found: list[tuple], k: int = 1) -> list[tuple]:
+    """Of (.., start, end, ..) with the start at k, in order of preference, those that overlap none before."""
+    out: list[tuple] = []
+    ends: list[int] = []
+    for f in found:
+        i = bisect_left(ends, f[k] + 1)  # the first one that ends after this starts
+        if i == len(ends) or out[i][k] >= f[k + 1]:
+            ends.insert(i, f[k + 1])
+            out.insert(i, f)
+    return out
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, start, end, license, reduction, n_changes, changes) of each license statement found.
 
-    Positions are code points of the text. Null and empty texts have none; rows are
-    independent, so that repeated rows are found again each. Of equal reductions the first
-    name ranks first. Other columns are ignored.
+    Positions are code points of the text, from the first to the last word of the statement. Null and empty texts have none; rows are
+    independent, so that repeated rows are found again each. Of statements that overlap, the one with the
+    fewest changes is reported, then the one with the largest reduction, then the first name. Other columns are ignored.
     """
     templates = templates or TEMPLATES
 

@@ -132,3 +132,22 @@ def test_licenses(spark):
     near = licenses.Scanner(licenses.TEMPLATES).find("This work is licensed under the GNU General Public License, version 2 or later.")
     assert near[0][2] == "GPL-2.0"
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_every_license_of_a_line_is_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    names = lambda t: [hit[2] for hit in scanner.find(t)]
+    line = "Licensed under CC BY-SA 4.0. Released under the MIT License."
+    assert [line[a:b] for a, b, *_ in scanner.find(line)] == ["Licensed under CC BY-SA 4.0", "Released under the MIT License"]
+    every = sorted(licenses.TEMPLATES)
+    rng.shuffle(every)
+    assert names(" and ".join(licenses.TEMPLATES[n] for n in every)) == every
+    assert names("Released under the MIT License. " * 500) == ["MIT"] * 500
+    # each place, compared with all of them by a plain search over all spans
+    want = scanner.words["MIT"]
+    for _ in range(200):
+        have = [rng.choice([*want, "x"]) for _ in range(9)]
+        all_spans = {(a, b): scanner.differences("MIT", have[a:b]) for a in range(9) for b in range(a + 1, 10)}
+        got = scanner.places("MIT", have, 0, 9)
+        assert bool(got) == any(len(d) <= 1 for d in all_spans.values())
+        assert all(n == len(all_spans[a, b]) <= 1 for n, a, b in got) and (not got or min(got)[0] == min(map(len, all_spans.values())))
