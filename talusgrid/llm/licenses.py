@@ -9,7 +9,7 @@ next to its size without any, ranks first.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,8 +38,10 @@ TEMPLATES = {
 MARKS = ("licens", "licenc", "permission is hereby", "redistribution and use")
 
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-#: Characters taken on either side of a mark in a line that is longer than twice that.
-SIDE = 600
+#: Marks with their words on one line or wrapped, with comment signs between.
+_MARKS = [re.compile(re.escape(mark).replace(r"\ ", r"[\W_]+")) for mark in MARKS]
+#: Where lines end, with comment signs of the next.
+_WRAP = re.compile(r"\s*\n[\W_]*")
 #: The share of a template's words that may differ.
 MOST_CHANGED = 0.2
 #: A difference in the costs of alignments; what is below it says where they start.
@@ -62,24 +64,22 @@ class Scanner:
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         return low
 
-    @staticmethod
-    def blocks(low: str) -> list[tuple[int, int]]:
-        """Lines, or parts of very long lines, that have a mark; parts that touch are one block."""
+    def blocks(self, low: str, starts: list[int]) -> list[tuple[int, int]]:
+        """Words, by their starts in the text, that a place around a mark can reach, over any lines; words that touch are one block."""
+        reach = max((len(w) + self.most[name] for name, w in self.words.items()), default=0)
         out: list[tuple[int, int]] = []
-        for at in sorted(m.start() for mark in MARKS for m in re.finditer(re.escape(mark), low)):
-            start, end = low.rfind("\n", 0, at) + 1, low.find("\n", at)
-            end = len(low) if end < 0 else end
-            if end - start > 2 * SIDE:
-                start, end = max(start, at - SIDE), min(end, at + SIDE)
+        for at in sorted(m.start() for mark in _MARKS for m in mark.finditer(low)):
+            k = bisect_right(starts, at) - 1
+            start, end = max(k - reach + 1, 0), min(k + reach, len(starts))
             if out and start <= out[-1][1]:
-                out[-1] = (out[-1][0], max(out[-1][1], end))
+                out[-1] = (out[-1][0], end)
             else:
                 out.append((start, end))
         return out
 
     def reduction(self, name: str, low: str) -> float:
-        """How much smaller the template makes a text, as a share of its own size."""
-        data = low.encode(errors="replace")
+        """How much smaller the template makes a text, its lines joined, as a share of its own size."""
+        data = _WRAP.sub(" ", low).encode(errors="replace")
         return 1 - len(self.given[name].compress(data)) / len(self.plain.compress(data))
 
     def places(self, name: str, have: list[str], start: int, end: int) -> list[tuple[int, int, int]]:
@@ -135,11 +135,12 @@ class Scanner:
         Places don't overlap: fewer differences go first, then the larger reduction, then the
         name. What is left between them is searched again until no template is confirmed.
         """
-        if not text or not (blocks := self.blocks(low := self.lower(text))):
+        low = self.lower(text or "")
+        if not any(mark.search(low) for mark in _MARKS):
             return []
         at = [m.span() for m in _WORD.finditer(low)]
         have, starts = [low[a:b] for a, b in at], [a for a, _ in at]
-        todo = [(bisect_left(starts, a), bisect_left(starts, b)) for a, b in blocks]
+        todo = self.blocks(low, starts)
         taken = []
         while todo:
             start, end = todo.pop()

@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 
 import numpy as np
 
@@ -151,3 +152,17 @@ def test_every_license_of_a_line_is_found():
         got = scanner.places("MIT", have, 0, 9)
         assert bool(got) == any(len(d) <= 1 for d in all_spans.values())
         assert all(n == len(all_spans[a, b]) <= 1 for n, a, b in got) and (not got or min(got)[0] == min(map(len, all_spans.values())))
+
+
+def test_licenses_wrapped_over_lines():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for width in (20, 40, 72):
+        for sign in ("", " * ", "# ", "// "):
+            for name, words in licenses.TEMPLATES.items():
+                text = "Some words.\n\n" + "\n".join(sign + x for x in textwrap.wrap(words, width, break_long_words=False, break_on_hyphens=False)) + "\n\nmore words"
+                assert [(hit[2], hit[4]) for hit in scanner.find(text)] == [(name, 0)], (width, sign, name)
+    # the usual form of the header has a blank line before the address
+    header = licenses.TEMPLATES["Apache-2.0-header"].replace(" at http", " at\n\n    http")
+    assert [hit[2] for hit in scanner.find(header)] == ["Apache-2.0-header"]
+    assert [hit[2] for hit in scanner.find("Released under the MIT License.\n" * 3)] == ["MIT"] * 3
+    assert scanner.find("released\nunder\nwords\nlicense") == []
