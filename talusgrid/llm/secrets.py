@@ -13,7 +13,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +28,22 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 WORDS = ("passw", "secret", "token", "api")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])M[A-Za-z0-9+/\r\n]{62,}={0,2}")
-SSH = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/\r\n]{32,}={0,2}")
+#: Where keys in base64 may start: 0x30 and a length, or the length of a short field, or the name of OpenSSH's private keys.
+DER = re.compile(r"M[A-I](?<![A-Za-z0-9+/_-]..)(?=[A-Za-z0-9+/\r\n]{61})")
+SSH = re.compile(r"(?:AAAA(?<![A-Za-z0-9+/_-].{4})|b3BlbnNzaC1rZXkt(?<![A-Za-z0-9+/_-].{16}))(?=[A-Za-z0-9+/\r\n]{32})")
+RUN = re.compile(r"[A-Za-z0-9+/\r\n]+")
+LETTER = re.compile(r"[A-Za-z0-9+/]")
+PADDING = re.compile(r"[\r\n]*={1,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+ALGORITHM = re.compile(rb"(ssh|ecdsa|sk-)[a-z0-9@.-]+")
 
 _MIN = {"assign": 12, "access": 18, "hex": 16}
+#: Letters of a DER key that other letters may follow.
+_LEAST = 62
+#: Fields of a public key by its algorithm, and bytes that follow a private key's last field by its cipher.
+_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ssh-ed448": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
+_TAGS = {b"aes128-gcm@openssh.com": 16, b"aes256-gcm@openssh.com": 16, b"chacha20-poly1305@openssh.com": 16}
 _CONTAINERS = (0x30, 0x31, 0xA0, 0xA1, 0xA3)
 
 
@@ -61,10 +72,10 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
-def der_elements(data: bytes, most: int = 4000) -> list[int] | None:
-    """Tags of a DER encoding in order, nested ones included; None unless all lengths add up."""
+def der_elements(data: bytes, most: int = 4000, at: int = 0, end: int | None = None) -> list[int] | None:
+    """Tags of a DER encoding (data[at:end]) in order, nested ones included; None unless all lengths add up."""
     tags: list[int] = []
-    todo = [(0, len(data))]
+    todo = [(at, len(data) if end is None else end)]
     while todo:
         at, end = todo.pop()
         while at < end:
@@ -77,12 +88,50 @@ def der_elements(data: bytes, most: int = 4000) -> list[int] | None:
     return tags
 
 
+def der_key_end(data: bytes, at: int = 0) -> int | None:
+    """Where the key or certificate at ``at`` ends: one sequence that holds integers, bit or octet strings; None if there is none."""
+    if at >= len(data) or data[at] != 0x30 or (whole := _tlv(data, at, len(data))) is None or whole[2] - at < 16:
+        return None
+    tags = der_elements(data, at=at, end=whole[2])
+    ok = tags is not None and len(tags) >= 3 and bool({0x02, 0x03, 0x04} & set(tags[1:])) and (tags.count(0x02) >= 2 or 0x06 in tags or 0x04 in tags)
+    return whole[2] if ok else None
+
+
 def is_der_key(data: bytes) -> bool:
-    """A key or certificate: one sequence over all bytes that holds integers, bit or octet strings."""
-    if len(data) < 16 or data[0] != 0x30 or (whole := _tlv(data, 0, len(data))) is None or whole[2] != len(data):
-        return False
-    tags = der_elements(data)
-    return tags is not None and len(tags) >= 3 and bool({0x02, 0x03, 0x04} & set(tags[1:])) and (tags.count(0x02) >= 2 or 0x06 in tags or 0x04 in tags)
+    """A key or certificate over all bytes."""
+    return der_key_end(data) == len(data)
+
+
+def _field(data: bytes, at: int) -> int | None:
+    """Where the length-prefixed field at ``at`` ends; None if it doesn't fit."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return end if at + 4 <= len(data) and end <= len(data) else None
+
+
+def ssh_key_end(data: bytes, at: int = 0) -> int | None:
+    """Where the OpenSSH key at ``at`` ends, by the fields that it states or has to have; None if there is none.
+
+    A private key that is cut off, and a public one of an unknown algorithm, ends with the data.
+    """
+    if data.startswith(b"openssh-key-v1\0", at):
+        at, cipher = at + 15, b""
+        for i in range(3):
+            if (end := _field(data, at)) is None:
+                return None
+            at, cipher = end, cipher if i else data[at + 4 : end]
+        n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if at > len(data) or not 1 <= n <= 64:
+            return None
+        for _ in range(n + 1):  # the public keys, then all private ones
+            if (at := _field(data, at)) is None:
+                return len(data)
+        return min(at + _TAGS.get(cipher, 0), len(data))
+    if (end := _field(data, at)) is None or not ALGORITHM.fullmatch(name := data[at + 4 : end]):
+        return None
+    n, need = 1, _FIELDS.get(name, len(data))
+    while (next_end := _field(data, end)) is not None and not (n >= need and ALGORITHM.fullmatch(data[end + 4 : min(next_end, end + 259)])):
+        n, end = n + 1, next_end
+    return end if n >= need or (n >= 2 and end == len(data)) else None
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -101,7 +150,7 @@ def is_ssh_key(data: bytes) -> bool:
             return False
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return len(fields) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk-)[a-z0-9@.-]+", fields[0]))
+    return len(fields) >= 2 and bool(ALGORITHM.fullmatch(fields[0]))
 
 
 def is_signed_token(token: str) -> bool:
@@ -121,6 +170,33 @@ def _decoded(x: str) -> bytes:
         return b""
 
 
+def _base64_keys(text: str, starts: re.Pattern, key_end: Callable[[bytes, int], int | None], least: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of keys in base64, over lines, that ``key_end`` confirms from a start on.
+
+    A key ends where its own lengths say; at least so many letters have to be its own, unless no others follow.
+    """
+    run_end = done = 0
+    for m in starts.finditer(text):
+        if m.start() < done:
+            continue
+        if m.start() >= run_end:
+            run_end = RUN.match(text, m.start()).end()
+            at = [x.start() for x in LETTER.finditer(text, m.start(), run_end)]
+            decoded: dict[int, bytes] = {}
+        i = bisect_left(at, m.start())
+        if (k := i % 4) not in decoded:  # once for all starts of a run, which lie at any of four places in a group of letters
+            n = len(at) - k
+            decoded[k] = _decoded("".join([text[x] for x in at[k : len(at) - (n % 4 == 1)]]))
+        if (end := key_end(decoded[k], first := i // 4 * 3)) is None:
+            continue
+        j = i + (4 * (end - first) + 2) // 3
+        if j - i >= least or j == len(at):
+            done = at[j - 1] + 1
+            if j == len(at) and (j - i) % 4 and (padding := PADDING.match(text, done)):
+                done = padding.end()
+            yield m.start(), done
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of candidates whose decoded structure holds."""
     out = []
@@ -129,9 +205,9 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     if "MI" in text or "MF" in text or "MC" in text or "ME" in text or "MH" in text:
-        out += [(m.start(), "der", m.start() + len(m[0].rstrip())) for m in BASE64.finditer(text) if is_der_key(_decoded(m[0]))]
+        out += [(a, "der", b) for a, b in _base64_keys(text, DER, der_key_end, _LEAST)]
     if "AAAA" in text or "b3BlbnNzaC1rZXkt" in text:
-        out += [(m.start(), "ssh", m.start() + len(m[0].rstrip())) for m in SSH.finditer(text) if is_ssh_key(_decoded(m[0]))]
+        out += [(a, "ssh", b) for a, b in _base64_keys(text, SSH, ssh_key_end, 0)]
     if "30" in text:
         out += [(m.start(), "der", m.end()) for m in HEX_DER.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
     return out

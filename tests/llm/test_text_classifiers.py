@@ -166,3 +166,37 @@ def test_licenses_wrapped_over_lines():
     assert [hit[2] for hit in scanner.find(header)] == ["Apache-2.0-header"]
     assert [hit[2] for hit in scanner.find("Released under the MIT License.\n" * 3)] == ["MIT"] * 3
     assert scanner.find("released\nunder\nwords\nlicense") == []
+
+
+def keys():
+    """Base64 of an Ed25519 key without padding, an RSA key with it, and public keys with and without."""
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    seed = bytes(range(100, 132))
+    ed = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, seed)))
+    rsa = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 65))) + der(2, b"\1\0\1") + der(2, bytes(101)))
+    return [base64.b64encode(x).decode() for x in (ed, rsa, field(b"ssh-ed25519") + field(seed), field(b"ssh-rsa") + field(b"\1\0\1") + field(bytes(range(66))))]
+
+
+def test_keys_after_equals_signs_and_before_words(spark):
+    found = lambda t: [(kind, t[a:b]) for a, kind, b in secrets.confirmed_spans(t)]
+    ed, rsa, ssh, ssh_rsa = keys()
+    assert not ed.endswith("=") and len(ed) == 64 and rsa.endswith("=") and not ssh.endswith("=") and ssh_rsa.endswith("=")
+    for kind, key in (("der", ed), ("der", rsa), ("ssh", ssh), ("ssh", ssh_rsa)):
+        wrapped = "\r\n".join(key[i : i + 40] for i in range(0, len(key), 40))
+        for x in (key, wrapped):
+            for before in ("", "PRIVATE_KEY=", "key = ", "My\n", "Made\nby\nMAIN\n"):
+                for after in ("", "\nPlain words follow", "\n\nI am", "\nM", "\nAAAA\n", " words", "\nx\n\ny"):
+                    assert found(before + x + after) == [(kind, x)], (before, x, after)
+    assert found(f"{ed}\n{ed}\nwords") == [("der", ed)] * 2 and found(f"{ssh}\n{ssh}\n{ssh_rsa}\nwords") == [("ssh", ssh), ("ssh", ssh), ("ssh", ssh_rsa)]
+    assert found("KEY=" + ed[:-4]) == [] and found("KEY=" + ed[:-4] + "\n") == [] and found("KEY=" + ssh[:-8] + "\nx y") == []
+    df = spark.createDataFrame([(1, f"KEY={ed}\nPlain words", 0)], "doc_id long, text string, n_chars long")
+    assert secrets.redact(df).first().text == "KEY=[SECRET]\nPlain words"
+
+
+def test_private_openssh_keys_end_where_their_fields_do():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    for cipher, more in ((b"none", b""), (b"aes256-gcm@openssh.com", bytes(range(16)))):
+        key = b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"public") + field(bytes(range(70))) + more
+        b64 = base64.b64encode(key).decode()
+        text = f"key={b64.rstrip('=')}\nPlain words"
+        assert [(text[a:b], kind) for a, kind, b in secrets.confirmed_spans(text)] == [(b64.rstrip("="), "ssh")]
