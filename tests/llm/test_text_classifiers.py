@@ -200,3 +200,17 @@ def test_private_openssh_keys_end_where_their_fields_do():
         b64 = base64.b64encode(key).decode()
         text = f"key={b64.rstrip('=')}\nPlain words"
         assert [(text[a:b], kind) for a, kind, b in secrets.confirmed_spans(text)] == [(b64.rstrip("="), "ssh")]
+
+
+def test_der_keys_of_every_length(spark):
+    p384 = der(0x30, der(2, b"\1") + der(4, bytes(48)) + der(0xA0, der(6, bytes.fromhex("2b81040022"))))
+    k256 = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2a8648ce3d0201")) + der(6, bytes.fromhex("2b8104000a"))) + der(4, der(0x30, der(2, b"\1") + der(4, bytes(32)))))
+    p224 = der(0x30, der(2, b"\1") + der(4, bytes(28)) + der(0xA0, der(6, bytes.fromhex("2b81040021"))) + der(0xA1, der(3, bytes(57))))
+    three = [base64.b64encode(x).decode() for x in (p384, k256, p224)]
+    for n in range(16, 400):  # every second letter that a sequence can have
+        three.append(base64.b64encode(der(0x30, der(2, b"\1") + der(4, bytes(n + 32)))).decode())
+    assert {x[:2] for x in three} >= {"MD", "MG", "MI"}
+    for x in three:
+        assert [(a, kind, b) for a, kind, b in secrets.confirmed_spans(f"a {x} b")] == [(2, "der", 2 + len(x))]
+    df = spark.createDataFrame([(1, "words " + three[1])], "doc_id long, text string")
+    assert secrets.redact(df).first().text == "words [SECRET]"
