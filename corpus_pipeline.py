@@ -7,6 +7,7 @@ read again as the next stage's docs. All but the last return the columns of docu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talusgrid.llm import decontamination, language_id, near_dedup, packing, secrets
 from talusgrid.llm import runtime as R
@@ -23,12 +24,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates (0.8 or more)."""
-    groups = near_dedup.near_duplicates(docs, similarity=(80, 100), width=5)
-    gone = R.stored(groups.where("not kept").select("doc_id").distinct(), "gone")
-    rest = R.semi_by_id(docs, gone, "doc_id", gone.count(), "left_anti")
-    # rows of one doc_id are one node of the groups: equal rows with the kept id stay one
-    return rest.select(docs.columns)
+    """Keep one row of each group of near duplicates (0.8 or more): of its smallest id, a null id last.
+
+    Rows are compared by text alone, whatever their ids; texts without words are in no group.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    rows = R.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), similarity=(80, 100), width=5)
+    groups = R.stored(groups.select(F.col("doc_id").alias(row), "component_id"), "groups")
+    ids = rows.select(row, F.col("doc_id").cast("long").alias("id"))
+    kept = groups.join(ids, row).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row))[row].alias(row))
+    gone = R.stored(groups.select(row).join(kept, row, "left_anti"), "gone")
+    return R.semi_by_id(rows, gone, row, gone.count(), "left_anti").select(docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

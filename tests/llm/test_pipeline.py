@@ -44,3 +44,18 @@ def test_op5_equals_its_sql(spark):
         names = [d[0] for d in rows.description]
         got = Q.queries()[name](spark, str(DATA)).select(*names).collect()
         assert sorted(tuple(r) for r in got) == sorted(rows.fetchall()), name
+
+
+def test_near_duplicates_keep_one_row_of_a_group(spark):
+    import corpus_pipeline as C
+
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
+    near = text["a"].replace("a39", "x")
+    rows = [(1, text["a"]), (1, text["a"]), (None, text["a"]), (2, near), (None, text["b"]), (None, text["b"]), (3, text["c"]), (0, text["c"])]
+    # one id for two texts: what happens to one doesn't touch the other
+    rows += [(5, text["d"]), (5, text["e"]), (4, text["d"]), (6, text["e"]), (None, text["f"]), (7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    got = C.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(0, text["c"]), (1, text["a"]), (4, text["d"]), (5, text["e"]), (7, None), (8, ""), (None, text["b"]), (None, text["f"])]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
