@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 
 from talusgrid.llm import kernels as K
 from talusgrid.llm import runtime as R
+from talusgrid.llm.near_dedup import near_duplicates
 
 SHARD = 4096
-_MEASURED = "doc_id long, source string, n_words long, cluster long"
+#: Documents at least this similar, in sets of so many words, are copies of each other.
+SIMILARITY, WIDTH = (80, 100), 5
+_MEASURED = "row long, doc_id long, source string, n_words long, words long"
 _PACKED = "bin_id long, offset int, doc_id long, piece int, start_word long, n_words long"
 
 
@@ -31,8 +34,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in R.slices(whole):
             words, offsets = K.word_hashes(*K.text_bytes(batch.column("text")))
-            clusters = [int.from_bytes(hashlib.blake2b(words[a:b].data, digest_size=8).digest(), "little", signed=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(clusters, pa.int64())], names=["doc_id", "source", "n_words", "cluster"])
+            digests = [int.from_bytes(hashlib.blake2b(words[a:b].data, digest_size=8).digest(), "little", signed=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.diff(offsets), pa.int64()), pa.array(digests, pa.int64())], names=["row", "doc_id", "source", "n_words", "words"])
 
 
 class Bins:
@@ -99,21 +102,23 @@ def pack(documents: DataFrame, capacity: int = 2048) -> DataFrame:
     """(bin_id, offset, doc_id, piece, start_word, n_words) for every piece of every document.
 
     A document of more than ``capacity`` words is cut into pieces, all but the last of which
-    fill a bin. No bin holds two pieces of one source, or of documents with the same words
-    (letter case aside). Documents without words, null ones included, get a row without a bin.
+    fill a bin. No bin holds two pieces of one source, or of documents of one group of near
+    copies (see near_dedup; the same words, letter case aside, are always one). Documents without words, null ones included, get a row without a bin.
     A null source conflicts with nothing. Repeated rows are packed each; other columns are
     ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    measured = R.stored(R.arrow_map(rows, _measure, _MEASURED), "measured")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    rows = R.stored(rows, "rows")
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), SIMILARITY, WIDTH).select(F.col("doc_id").alias("row"), F.col("component_id").alias("cluster"))
+    measured = R.stored(R.arrow_map(rows, _measure, _MEASURED).join(groups, "row"), "measured")
     some = measured.where("n_words > 0")
     pieces = F.ceil(F.col("n_words") / F.lit(capacity)).cast("int")
-    items = some.select("doc_id", "source", "cluster", "n_words", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    items = some.select("doc_id", "source", "words", "cluster", "n_words", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     items = items.withColumn("start_word", F.col("piece").cast("long") * capacity).withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("n_words") - F.col("start_word")))
     shards = max(1, -(-items.count() // (SHARD * 3 // 4)))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
-    dealt = dealt.select("shard", "doc_id", "source", "cluster", "piece", "start_word", "size").repartition(min(shards, R.partitions(spark)), "shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "piece", "source", "cluster")
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "words"), F.lit(shards)))
+    dealt = dealt.select("shard", "doc_id", "source", "words", "cluster", "piece", "start_word", "size").repartition(min(shards, R.partitions(spark)), "shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "piece", "source", "words", "cluster")
     packed = R.arrow_map(dealt, _pack(capacity), _PACKED)
     none = measured.where("n_words = 0").select(F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("offset"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_word"), "n_words")
     return packed.unionByName(none)

@@ -63,6 +63,17 @@ def test_packing_keeps_all_words_and_conflicts(spark, monkeypatch):
     assert {r.doc_id for r in got if r.bin_id is None} == {300, 301}
 
 
+def test_near_copies_never_share_a_bin(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:-1], f"x{i}"]), None) for i in range(12)] + [(100 + i, f"other text number {i} " * 5, None) for i in range(30)]
+    rows += [(5, "one id for two texts", None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), 300).collect()
+    assert len(got) == len(rows)
+    bins = [r.bin_id for r in got if r.doc_id < 12 and r.n_words == 60]
+    assert len(bins) == len(set(bins)) == 12
+    assert len({r.bin_id for r in got}) == 12
+
+
 def test_best_fit_takes_the_tightest_bin_without_conflict():
     bins = packing.Bins(10)
     assert [bins.put(*x) for x in ((7, 1, 0), (6, 2, 0), (3, 1, 0), (3, 4, 0), (1, 8, 0))] == [(0, 0), (1, 0), (1, 6), (0, 7), (1, 9)]
