@@ -29,6 +29,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == brute_top(rows, 5, lambda q: q % 5 == 0)
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (2, [100000.0, 5.0]), (3, [90000.0, -1.0]), (50, [1.0, 0.0]), (50, [0.0, 2.0]), (4, [])]
+    schema = "vec_id long, embedding array<double>"
+    pick = F.col("vec_id") % 50 == 0
+    got = sorted(tuple(r) for r in pivot_topk.top_k(spark.createDataFrame(rows, schema), pick, 3).collect())
+    # (50, [1, 0]): the other row of the id is a candidate, at 0 and behind the smaller ids
+    want = [(50, 1, 2, 6553600000), (50, 2, 3, 5898240000), (50, 3, 1, 65536), (50, 1, 2, 655360), (50, 2, 1, 0), (50, 3, 4, 0)]
+    assert got == sorted(want)
+    for big in (2.0**40, 2.0**60, 1e100):
+        rows = [(0, [big, 1.0]), (1, [big, 0.0]), (2, [big, 2.0]), (3, [-big, 2.0]), (4, [0.5, 7.0]), (5, [-big, 3.0]), (6, [1e200, 0.0])]
+        got = sorted((r.rank, r.vec_id, r.score) for r in pivot_topk.top_k(spark.createDataFrame(rows, schema), pick, 5).collect())
+        # 1e200 takes no part; ties to double precision are told apart by exact sums
+        scaled = {i: [int(math.floor(256 * x)) for x in v] for i, v in rows[:6]}
+        score = {i: sum(a * b for a, b in zip(scaled[0], v, strict=True)) for i, v in scaled.items() if i}
+        best = sorted(score, key=lambda i: (-score[i], i))
+        assert got == [(n + 1, i, min(max(score[i], -(2**63)), 2**63 - 1)) for n, i in enumerate(best)]
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, -2.0]), (50, [0.5, 0.5])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in pivot_topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
