@@ -27,7 +27,7 @@ from talusgrid.llm import runtime as R
 REGISTERS, WIDTH, MANTISSA = 125, 5, 10
 BANDS = REGISTERS // WIDTH
 #: Members of a band bucket, and of a family, that one task compares with each other.
-BUCKET_CHUNK, FAMILY_CHUNK = 8192, 512
+BUCKET_CHUNK, FAMILY_CHUNK = 2048, 512
 #: Standard errors that a register estimate may lie below the threshold.
 SLACK = 5.0
 
@@ -73,6 +73,10 @@ def _may_link(est: np.ndarray, used: np.ndarray, threshold: float) -> np.ndarray
 SIGNED = "doc_id long, n_shingles long, set_hash binary, sig binary"
 
 
+def _set_hash(values: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(values.data, digest_size=16).digest() if len(values) else None
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -81,7 +85,7 @@ def _sign(width: int):
                 values, offsets = K.distinct_by_row(values, offsets)
                 sig = registers(values, offsets)
                 n = np.diff(offsets)
-                hashes = [hashlib.blake2b(values[a:b].data, digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                hashes = [_set_hash(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
                     names=["doc_id", "n_shingles", "set_hash", "sig"],
@@ -124,12 +128,22 @@ def _bucket_edges(threshold: float):
 
 
 def _sets(width: int):
+    """The full set of each class, once from each partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for batch in R.slices(whole):
                 values, offsets = K.distinct_by_row(*K.shingle_hashes(*K.word_hashes(*K.text_bytes(batch.column("text"))), width))
-                sets = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("family"), batch.column("size"), pa.array(sets, pa.binary())], names=["rep", "family", "size", "set"])
+                sets, rows = [], []
+                for i, (rep, want) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("set_hash").to_pylist(), strict=True)):
+                    own = values[offsets[i] : offsets[i + 1]]
+                    if rep not in seen and _set_hash(own) == want:
+                        seen.add(rep)
+                        rows.append(i)
+                        sets.append(own.tobytes())
+                kept = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("rep", "node", "family", "size")), pa.array(sets, pa.binary())], names=["rep", "node", "family", "size", "set"])
 
     return run
 
@@ -172,7 +186,7 @@ def _family_edges(num: int, den: int):
         for table in R.grouped(batches, "g"):
             if table.num_rows < 2:
                 continue
-            ids = table.column("rep").to_numpy()
+            ids = table.column("node").to_numpy()
             i, j = linked_pairs([np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()], num, den)
             for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
                 forest.join(a, b)
@@ -195,6 +209,18 @@ def _dealt(rows: DataFrame, group: str, size: str, member: str, chunk: int) -> D
     return rows.withColumn("g", F.explode(keys))
 
 
+def _shared_ids(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of the classes that rows of one id are in: each with the first of them."""
+    h = F.xxhash64("set_hash")
+    shared = R.stored(some.groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a < b").select("doc_id"), "shared")
+    n = shared.count()
+    if not n:
+        return shared.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    held = R.stored(R.semi_by_id(some.select("doc_id", "set_hash"), shared, "doc_id", n).distinct().join(reps.select("set_hash", "node"), "set_hash").select("doc_id", "node"), "held")
+    first = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return R.semi_by_id(held, first, "doc_id", n, "inner").select(F.col("node").alias("a"), "b").where("a <> b")
+
+
 def near_duplicates(documents: DataFrame, similarity: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents (doc_id, text).
 
@@ -202,18 +228,22 @@ def near_duplicates(documents: DataFrame, similarity: tuple[int, int] = (80, 100
     least ``similarity`` (numerator, denominator); the component is the smallest doc_id that is
     reachable over links, itself included, and only that document is kept.
 
-    Null and empty texts, and texts without words, have no shingles and are linked with
-    nothing. Rows with one doc_id count as one node. A null doc_id has no component and is
-    kept. Other columns are ignored. An empty table gives no rows.
+    Rows of one doc_id that have words are linked too, whatever their texts: one id is one node,
+    and all its rows are kept or none. n_shingles is that of the row's own text. Null and empty
+    texts, and texts without words, have no shingles and are linked with nothing, not even with
+    rows of their id. A null doc_id has no component, links nothing and is kept. Other columns
+    are ignored, also one whose name differs in case only. An empty table gives no rows.
     """
     num, den = similarity
     threshold = num / den
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = R.columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     parts = R.partitions(spark)
-    signed = R.stored(R.arrow_map(docs, _sign(width), SIGNED), "signed")
+    signed = R.stored(R.arrow_map(docs, _sign(width), SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
     some = signed.where("doc_id is not null and n_shingles > 0")
-    reps = R.stored(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    # a class goes by its first row, as ids may be shared; the node of all classes with one smallest id is that id
+    first = F.min(F.struct("row", "doc_id"))
+    reps = R.stored(some.groupBy("set_hash").agg(first["row"].alias("rep"), first["doc_id"].alias("of"), F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
 
     #: Below this size a set can't be similar without being equal.
     least = next(n for n in range(1, den + 2) if den * n >= num * (n + 1))
@@ -227,15 +257,17 @@ def near_duplicates(documents: DataFrame, similarity: tuple[int, int] = (80, 100
     dealt = _dealt(met, "band", "size", "rep", BUCKET_CHUNK).select("g", "rep")
     full = dealt.join(reps.select("rep", "n", "sig"), "rep").repartition(parts, "g").sortWithinPartitions("g")
     families = R.connected_components(R.arrow_map(full.select("g", "rep", "n", "sig"), _bucket_edges(threshold), "a long, b long"))
-    families = R.stored(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+    families = R.stored(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
     counts = families.groupBy("family").agg(F.count("*").alias("size"))
-    members = R.stored(families.join(counts, "family"), "members")
-
-    chosen = R.semi_by_id(docs, members, "doc_id", members.count(), "inner").select("doc_id", "family", "size", "text")
-    sets = R.arrow_map(chosen, _sets(width), "rep long, family long, size long, set binary")
-    dealt = _dealt(sets, "family", "size", "rep", FAMILY_CHUNK).select("g", "rep", "set").repartition(parts, "g").sortWithinPartitions("g")
-    links = R.connected_components(R.arrow_map(dealt, _family_edges(num, den), "a long, b long"))
-    labels = reps.select("set_hash", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
+    # the text of a class is that of its first row; other rows of that row's id are told apart by their sets
+    members = R.stored(families.join(counts, "family").join(reps.select("rep", "node", F.col("of").alias("doc_id"), "set_hash"), "rep"), "members")
+
+    chosen = R.semi_by_id(docs, members, "doc_id", members.count(), "inner").select("rep", "node", "family", "size", "set_hash", "text")
+    sets = R.arrow_map(chosen, _sets(width), "rep long, node long, family long, size long, set binary")
+    dealt = _dealt(sets, "family", "size", "rep", FAMILY_CHUNK).select("g", "node", "set").repartition(parts, "g").sortWithinPartitions("g")
+    edges = R.arrow_map(dealt, _family_edges(num, den), "a long, b long").unionByName(_shared_ids(some, reps))
+    links = R.connected_components(edges)
+    labels = reps.select("set_hash", "node").join(links, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     placed = some.select("doc_id", "n_shingles", "set_hash").join(labels, "set_hash")
     rest = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = placed.select("doc_id", "n_shingles", "component_id").unionByName(rest)

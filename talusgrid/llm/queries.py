@@ -111,17 +111,21 @@ ORACLE = {
     """,
     "op5_near_dedup": f"""
         WITH RECURSIVE
-        w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
         s AS (
-            SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS sh
-            FROM (SELECT doc_id, ws, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - 4, 1) + 1 END)) AS i FROM w)
+            SELECT DISTINCT r, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS sh
+            FROM (SELECT r, ws, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - 4, 1) + 1 END)) AS i FROM w)
         ),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-        e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)),
-        r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.doc_id)
-        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
-        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(o) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r <> b.r GROUP BY 1, 2),
+        e AS (
+            SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b
+            JOIN w a ON a.r = p.a AND a.doc_id IS NOT NULL JOIN w b ON b.r = p.b AND b.doc_id IS NOT NULL WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)
+            UNION SELECT a.r, b.r FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.r <> b.r WHERE len(a.ws) > 0 AND len(b.ws) > 0
+        ),
+        r AS (SELECT r, doc_id AS o FROM w WHERE doc_id IS NOT NULL UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.r)
+        SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, coalesce(w.doc_id = m.c, true) AS kept
+        FROM w LEFT JOIN n USING (r) LEFT JOIN (SELECT w.r, min(r.o) AS c FROM w JOIN r USING (r) WHERE w.doc_id IS NOT NULL GROUP BY w.r) m USING (r)
     """,
 }
 

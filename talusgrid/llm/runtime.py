@@ -24,12 +24,14 @@ STAR_ROWS, STAR_SHARE = 200, 1e-4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. On a local master a new folder serves where it is unset."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -53,6 +55,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame, *names: str) -> DataFrame:
+    """The rows, with other columns whose names differ from one of these in case only renamed, so that these can be named."""
+    wanted = {n.casefold() for n in names}
+    clash = [i for i, c in enumerate(df.columns) if c not in names and c.casefold() in wanted and any(n in df.columns and n.casefold() == c.casefold() for n in names)]
+    return df.toDF(*[f"_other{i}_{c}" if i in clash else c for i, c in enumerate(df.columns)]) if clash else df
+
+
 def semi_by_id(rows: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "left_semi") -> DataFrame:
     """Join on ids: broadcast when their counted number is within BROADCAST_ROWS, else by shuffle."""
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids.hint("shuffle_merge"), key, how)

@@ -71,6 +71,27 @@ def test_odd_rows(spark):
     assert got == [(-1, None, True), (2, 2, True), (3, 2, False), (3, 2, False), (9, 9, True)]
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    """Against brute force: rows with links by text or by id; ids come up to four times."""
+    schema = "doc_id long, text string, Text string, set_hash int"
+    a, b = "a b c d e f", "x y z w v u"
+    got = N.near_duplicates(spark.createDataFrame([(1, a, "", 0), (5, a, "", 0), (5, b, "", 0), (9, b, "", 0), (5, "", "", 0)], schema)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 2, 1, True), (5, 0, 5, True), (5, 2, 1, False), (5, 2, 1, False), (9, 2, 1, False)]
+    rows = [(rng.randint(0, 70), t) for _, t in corpus()]
+    f = R.Forest()
+    sets = [shingles(t) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and (rows[i][0] == rows[j][0] or 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])):
+                f.join(i, j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[f.root(i)] = min(doc, least.get(f.root(i), doc))
+    want = sorted((doc, len(sets[i]), least[f.root(i)], doc == least[f.root(i)]) for i, (doc, _) in enumerate(rows))
+    got = N.near_duplicates(spark.createDataFrame([(i, t, "y", 1) for i, t in rows], schema).repartition(3), (85, 100)).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_register_estimates_are_close():
     g = np.random.default_rng(1)
     for j in (0.3, 0.6, 0.85):
