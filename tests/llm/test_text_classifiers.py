@@ -34,15 +34,55 @@ def test_language_accuracy_on_held_out_texts(spark):
     assert language_id.predict(df.limit(3), None, ["doc_id"]).first().lang_pred == "und"
 
 
-def test_many_weights_are_zero_and_long_texts_are_whole():
-    x = np.concatenate([np.random.default_rng(0).random((200, 40)), np.ones((200, 1))], axis=1).astype(np.float32)
+def test_many_weights_are_zero_and_long_texts_are_whole(monkeypatch):
+    x = np.concatenate([np.random.default_rng(0).random((200, 40)), np.ones((200, 1))], axis=1)
     y = (x[:, 0] > 0.5).astype(int)
-    w = language_id.ftrl(x, y, 2)
+    w = language_id.ftrl([(np.arange(41), r) for r in x], y, 41, 2)
     assert ((x @ w).argmax(1) == y).mean() > 0.9
     import pyarrow as pa
 
     counts = next(language_id.term_counts(pa.array(["ab" * 3_000_000, "ba"])))
-    assert counts[0].sum() >= 6_000_000 * 3 - 3 and counts[1].sum() == 3
+    assert counts[0].sum() == 6_000_000 * 3 - 3 and counts[1].sum() == 3
+    texts = ["É×ab ñandú" * 9, None, "", "x", "日本語テキスト" * 30, "abc" * 50]
+    whole = next(language_id.term_counts(pa.array(texts)))
+    monkeypatch.setattr(language_id, "_PART", 16)
+    assert (next(language_id.term_counts(pa.array(texts))) == whole).all()
+    assert (whole[0] == next(language_id.term_counts(pa.array([texts[0].upper()])))[0]).all()
+
+
+def test_features_are_n_grams_of_characters():
+    """Against a plain count of the code points' n-grams, hashed one at a time."""
+    import pyarrow as pa
+
+    def feature(gram):
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+        h = (h * 0x9E3779B1 + len(gram) * 0x85EBCA6B) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        return h >> 32 - language_id.FEATURE_BITS
+
+    texts = ["日本 ÀÉ", "a", "", "straße über", "ab" * 40]
+    for text, row in zip(texts, next(language_id.term_counts(pa.array(texts))), strict=True):
+        want = np.zeros(language_id.FEATURES, int)
+        low = text.lower()
+        for n in language_id.ORDERS:
+            for i in range(len(low) - n + 1):
+                want[feature(low[i : i + n])] += 1
+        assert (row == want).all()
+
+
+def test_letters_are_those_of_unicode(spark, monkeypatch):
+    assert not any(map(language_id.has_letter, [None, "", "12 ½ ² ① Ⅷ !?", "\u0301"])) and all(map(language_id.has_letter, ["ß", "1 日", "ʰ", "ªa"]))
+    # more languages than the fit can hold: those with most rows are learned, and nothing fails
+    monkeypatch.setattr(language_id, "FIT_ROWS", 60)
+    rows = [(i, prose("aa", 9), "aa") for i in range(40)] + [(100 + i, prose("cc", 9), "cc") for i in range(40)] + [(200 + i, prose("bb", 5), f"l{i % 5}") for i in range(10)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, Lang string")
+    model = language_id.train(df)
+    assert model.languages == ["aa", "cc", "l0"]
+    assert language_id.predict(df, model, ["doc_id"]).count() == 90
+    none = language_id.with_language(spark.createDataFrame([*rows, (1, "1 2", "x"), (2, None, None)], "doc_id long, text string, lang string"), None, 0.5)
+    assert none.count() == 90 and language_id.predict(df.limit(0), model, ["doc_id"]).count() == 0
 
 
 def toxic_corpus():
