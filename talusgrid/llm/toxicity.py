@@ -1,14 +1,20 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-A cascade of small transducers runs over the words of a clause. The first rewrites words to
-symbols: insults and threats from weighted patterns, targets, negations and verbs of reported
-speech from short lists. The others rewrite symbols in context: a negation marks the insults
-within its reach, reported speech those that follow, a target those on either side. Matched
-clauses, by their final symbols, make the evidence of a text; single words count for nothing
-outside a clause that matches.
-
-The insult patterns are word stems learned from labelled texts, and so is the weight of each
-kind of match, by a small logistic regression.
+A lexicon rewrites the words of a clause to symbols: insults by learned stems, threats, targets,
+negations and verbs of reported speech by short lists. Three transducers read the symbols one
+after another: the first takes the insults and threats within a negation's reach out, the second
+those within the reach of reported speech, the third finds the targets of the rest on either
+side. They are composed into one machine, whose arcs carry events:
+
+    insult     an insult that the clause asserts: it is neither negated nor reported
+    targeted   such an insult with a target near it
+    threat     a threat with a target near it, neither negated nor reported
+    negated    an insult or threat that a negation takes back
+    reported   an insult or threat that somebody else said
+
+A text's evidence is what the paths of its clauses sum up to, event by event. The weights of the
+events are learned with their signs fixed: the first three add, the last two subtract. A threat
+without a target, and a word that is in no clause with an event, count for nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -26,56 +33,113 @@ from pyspark.sql import functions as F
 
 from talusgrid.llm import runtime as R
 
-#: Labelled rows of each class that the fit sees at most, patterns at most, and lengths of stems.
-FIT_ROWS, PATTERNS, STEMS = 5000, 4000, (4, 5, 6, 7, 8)
+#: Labelled rows of each class that the fit sees at most, and lengths of stems.
+FIT_ROWS, STEMS = 5000, (4, 5, 6, 7, 8)
 LEAST_COUNT, LEAST_SHARE = 6, 0.95
-#: Words that a negation reaches over, and those that reported speech does.
-NEGATION_REACH, REPORT_REACH = 3, 12
+#: Symbols that a negation reaches over, that reported speech does, and between an insult and its target.
+NEGATION_REACH, REPORT_REACH, TARGET_REACH = 3, 12, 6
 
 # Words of the closed classes in English, French, German and Spanish.
 TARGETS = frozenset("you your yours yourself u ur he she they them him her toi vous ton votre tes vos du dich dir dein euch ihr tú usted ustedes te ti vosotros".split())
 NEGATIONS = frozenset("not never no isn't aren't wasn't don't neither nor pas jamais aucun nicht kein keine niemals nunca jamás tampoco".split())
 REPORTS = frozenset("said says say wrote writes claimed quoted called according reported dit disait écrit sagte sagt schrieb laut dijo dice escribió según".split())
-THREATS = frozenset("kill killing murder hurt destroy die punch shoot stab tuer frapper mourir töten umbringen sterben schlagen matar morir golpear".split())
+THREATS = frozenset("kill killing murder hurt destroy punch shoot stab tuer frapper mourir töten umbringen sterben schlagen matar morir golpear".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _END = re.compile(r"[.!?;\n]")
-KINDS = ("bare", "targeted", "negated", "reported", "threat")
-NUMBERS = len(KINDS) * 2
 
+SYMBOLS = ("-", "neg", "rep", "tgt", "insult", "threat")
+EVENTS = ("insult", "targeted", "threat", "negated", "reported")
+#: Signs of the events' weights, and what these are where no label says otherwise.
+SIGNS, PRIOR = (1, 1, 1, -1, -1), (2.0, 0.5, 2.0, -0.5, -0.5)
+#: For each event the log of one plus its sum, and whether it occurs.
+NUMBERS = 2 * len(EVENTS)
 
+Arc = tuple[int, str, tuple[str, ...]]
+
+
+@dataclass
 class Transducer:
-    """A deterministic transducer over symbols: ``step(state, symbol)`` gives the next state and an output."""
+    """A deterministic transducer: arcs[state][symbol] is the next state, the symbol written, and events."""
 
-    def __init__(self, start: int, arcs: dict[tuple[int, str], tuple[int, str]], otherwise) -> None:
-        self.start, self.arcs, self.otherwise = start, arcs, otherwise
+    arcs: list[dict[str, Arc]]
 
-    def run(self, symbols: list[str]) -> list[str]:
-        state, out = self.start, []
+    def run(self, symbols: list[str]) -> tuple[list[str], list[tuple[str, ...]]]:
+        state, written, events = 0, [], []
         for s in symbols:
-            state, symbol = self.arcs.get((state, s)) or self.otherwise(state, s)
-            out.append(symbol)
-        return out
+            state, out, e = self.arcs[state][s]
+            written.append(out)
+            events.append(e)
+        return written, events
+
+
+def _built(start, step, symbols: tuple[str, ...]) -> Transducer:
+    """The machine of all states that ``step`` reaches from ``start``, numbered as they are met."""
+    number, todo, arcs = {start: 0}, [start], []
+    for state in todo:
+        row = {}
+        for s in symbols:
+            to, out, events = step(state, s)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            row[s] = (number[to], out, events)
+        arcs.append(row)
+    return Transducer(arcs)
+
+
+def scope(trigger: str, reach: int, event: str) -> Transducer:
+    """Insults and threats within ``reach`` symbols after ``trigger`` are taken out, with an event."""
+
+    def step(left: int, s: str):
+        if s == trigger:
+            return reach, s, ()
+        if left and s in ("insult", "threat"):
+            return left - 1, "-", (event,)
+        return max(left - 1, 0), s, ()
 
+    return _built(0, step, SYMBOLS)
 
-def reach(trigger: str, length: int, marks: dict[str, str]) -> Transducer:
-    """Within ``length`` symbols after ``trigger``, symbols are rewritten as ``marks`` says."""
-    arcs = {(n, trigger): (length, trigger) for n in range(length + 1)}
-    arcs |= {(n, a): (n - 1, b) for n in range(1, length + 1) for a, b in marks.items()}
-    return Transducer(0, arcs, lambda state, s: (max(state - 1, 0), s))
 
+def targets(reach: int) -> Transducer:
+    """Insults, and those and threats with a target at most ``reach`` symbols before or after."""
 
-#: The cascade after the lexicon; the targets before and after a match are found by a run each way.
-NEGATED = reach("neg", NEGATION_REACH, {"insult": "negated", "threat": "negated"})
-REPORTED = reach("rep", REPORT_REACH, {"insult": "reported", "threat": "reported"})
-TARGETED = reach("tgt", 6, {"insult": "targeted"})
+    def step(state: tuple[int, int, int], s: str):
+        near, insult, threat = state  # how far a target, an insult and a threat without one still reach
+        down = tuple(max(x - 1, 0) for x in state)
+        if s == "tgt":
+            return (reach, 0, 0), s, ("targeted",) * (insult > 0) + ("threat",) * (threat > 0)
+        if s == "insult":
+            return (down[0], 0 if near else reach, down[2]), s, ("insult", "targeted") if near else ("insult",)
+        if s == "threat":
+            return (down[0], down[1], 0 if near else reach), s, ("threat",) if near else ()
+        return down, s, ()
+
+    return _built((0, 0, 0), step, SYMBOLS)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that does what ``b`` does with what ``a`` writes, with the events of both."""
+
+    def step(state: tuple[int, int], s: str):
+        x, middle, first = a.arcs[state[0]][s]
+        y, out, second = b.arcs[state[1]][middle]
+        return (x, y), out, first + second
+
+    return _built((0, 0), step, SYMBOLS)
+
+
+@cache
+def machine() -> Transducer:
+    negated, reported = scope("neg", NEGATION_REACH, "negated"), scope("rep", REPORT_REACH, "reported")
+    return compose(compose(negated, reported), targets(TARGET_REACH))
 
 
 def symbols_of(words: list[str], patterns: dict[str, float]) -> tuple[list[str], list[float]]:
     """The lexicon: a symbol and a weight for each word; the longest stem that is a pattern counts."""
     symbols, weights = [], []
     for w in words:
-        weight = next((patterns[w[:n]] for n in reversed(STEMS) if w[:n] in patterns and len(w) >= n), None)
+        weight = next((patterns[w[:n]] for n in reversed(STEMS) if len(w) >= n and w[:n] in patterns), None)
         if weight is not None:
             symbols.append("insult")
         elif w in THREATS:
@@ -86,19 +150,11 @@ def symbols_of(words: list[str], patterns: dict[str, float]) -> tuple[list[str],
     return symbols, weights
 
 
-def clause_matches(words: list[str], patterns: dict[str, float]) -> list[tuple[str, float]]:
-    """Kind and weight of each match in a clause."""
+def clause_events(words: list[str], patterns: dict[str, float]) -> list[tuple[str, float]]:
+    """Events of a clause with their weights: those of insults have their stem's, others one."""
     symbols, weights = symbols_of(words, patterns)
-    symbols = TARGETED.run(REPORTED.run(NEGATED.run(symbols)))
-    symbols = TARGETED.run(symbols[::-1])[::-1]
-    has_target = "tgt" in symbols
-    out = []
-    for s, w in zip(symbols, weights, strict=True):
-        if s in ("insult", "targeted", "negated", "reported"):
-            out.append(("bare" if s == "insult" else s, w))
-        elif s == "threat" and has_target:
-            out.append(("threat", w))
-    return out
+    _, events = machine().run(symbols)
+    return [(e, w if e in ("insult", "negated", "reported") else 1.0) for es, w in zip(events, weights, strict=True) for e in es]
 
 
 class Grammar:
@@ -112,7 +168,7 @@ class Grammar:
         self.automaton.make_automaton()
 
     def evidence(self, text: str | None) -> np.ndarray:
-        """For each kind the log of one plus the sum of its weights, and whether it occurs."""
+        """For each event the log of one plus the sum of its weights, and whether it occurs."""
         out = np.zeros(NUMBERS)
         if not text:
             return out
@@ -127,10 +183,10 @@ class Grammar:
             a = max(a, done, 0)
             end = _END.search(low, last + 1)
             done = end.start() if end else len(low)
-            for kind, weight in clause_matches(WORD.findall(low, a, done), self.patterns):
-                sums[kind] += weight
-        for i, kind in enumerate(KINDS):
-            out[2 * i], out[2 * i + 1] = np.log1p(sums[kind]), kind in sums
+            for event, weight in clause_events(WORD.findall(low, a, done), self.patterns):
+                sums[event] += weight
+        for i, event in enumerate(EVENTS):
+            out[2 * i], out[2 * i + 1] = np.log1p(sums[event]), event in sums
         return out
 
 
@@ -178,16 +234,29 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Weights, a constant last, of a ridge-penalised logistic regression, by Newton's method."""
+def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> np.ndarray:
+    """Weights, a constant last, of a logistic regression with a ridge around PRIOR and the SIGNS kept.
+
+    One coordinate after another takes a Newton step and is moved back to its side of zero.
+    """
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
+    prior = np.append(np.repeat(PRIOR, 2), 0.0)
+    signs = np.append(np.repeat(SIGNS, 2), 0)
+    penalty = np.append(np.full(NUMBERS, ridge), 1e-3)
+    w = prior.copy()
+    z = x @ w
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (p - y)) + penalty @ w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        most = 0.0
+        for k in range(x.shape[1]):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            slope = x[:, k] @ (weight * (p - y)) + penalty[k] * (w[k] - prior[k])
+            new = w[k] - np.clip(slope / ((x[:, k] ** 2) @ (weight * np.maximum(p * (1 - p), 1e-6)) + penalty[k]), -1, 1)
+            if signs[k] * new < 0:
+                new = 0.0
+            z += x[:, k] * (new - w[k])
+            most = max(most, abs(new - w[k]))
+            w[k] = new
+        if most < 1e-7:
             break
     return w
 
@@ -203,9 +272,10 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     The fit sees FIT_ROWS labelled documents of each class at most, those with the smallest
     hashes of their ids. Null ids and labels are left out; a document with several labels is
-    toxic if one of them says so. Without documents of both classes every text scores by their
-    share alone.
+    toxic if one of them says so. Without documents of both classes there are no patterns, and
+    the weights are PRIOR's, with the classes' shares as the constant.
     """
+    documents, labels = R.columns(documents, "doc_id", "text"), R.columns(labels, "doc_id", "toxic")
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
     sizes = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     position = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
@@ -218,20 +288,19 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     all_toxic, all_clean = sizes.get(1, 0), sizes.get(0, 0)
     prior = float(np.log((all_toxic + 0.5) / (all_clean + 0.5)))
     if not toxic or not clean:
-        return Model({}, np.append(np.zeros(NUMBERS), prior))
+        return Model({}, np.append(np.repeat(PRIOR, 2), prior))
     # clean counts of a batch without a toxic text are not in the first counts, so those of candidates are counted apart
     often = R.arrow_map(rows, _feature_counts, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     bound = (1 - LEAST_SHARE) / LEAST_SHARE * clean / toxic
-    often = often.where((F.col("toxic") >= LEAST_COUNT) & (F.col("clean") <= F.col("toxic") * bound + 1)).orderBy(F.desc("toxic"), "stem").limit(8 * PATTERNS).collect()
+    often = often.where((F.col("toxic") >= LEAST_COUNT) & (F.col("clean") <= F.col("toxic") * bound + 1)).collect()
     stems = frozenset(r.stem for r in often)
     clean_of = {r.stem: r.clean for r in R.arrow_map(rows, _clean_counts(stems), "stem string, clean long").groupBy("stem").agg(F.sum("clean").alias("clean")).collect()}
     patterns = choose([(r.stem, r.toxic, clean_of.get(r.stem, 0)) for r in often], toxic, clean)
-    patterns = dict(sorted(patterns.items(), key=lambda p: (-p[1], p[0]))[:PATTERNS])
     got = R.arrow_map(rows, _evidence(patterns), "toxic int, x binary").collect()
     got.sort(key=lambda r: (r.toxic, r.x))
     x, y = np.asarray([np.frombuffer(r.x) for r in got]), np.asarray([r.toxic for r in got])
     weight = np.where(y == 1, all_toxic / toxic, all_clean / clean)
-    return Model(patterns, logistic(x, y, weight))
+    return Model(patterns, fitted(x, y, weight))
 
 
 def _evidence(patterns: dict[str, float]):
@@ -247,9 +316,10 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of each row with score, the probability that its text is toxic.
 
     Null and empty texts have no evidence, and the score of such. Repeated rows and nulls in
-    other columns are kept as they are.
+    other columns are kept as they are; an empty table gives no rows. A clause of any length is
+    read whole.
     """
-    rows = documents.select(*keep, "text")
+    rows = R.columns(documents, *keep, "text").select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.patterns)

@@ -4,6 +4,7 @@ import json
 import random
 import re
 import textwrap
+from collections import Counter
 
 import numpy as np
 
@@ -108,19 +109,68 @@ def test_toxicity_on_held_out_texts(spark):
     assert all((s >= 0.7) == bool(y) for s, y in held) and got[700] == got[701] < 0.1 and all(0 <= s <= 1 for s in got.values())
     assert any(p.startswith("vequ") for p in model.patterns)
     none = toxicity.train(df, lab.limit(0))
-    assert {r.score for r in toxicity.score(df, none, ["doc_id"]).collect()} == {0.5}
+    assert {r.score for r in toxicity.score(df, none, ["doc_id"]).collect()} == {0.5} and not none.patterns
 
 
 def test_clauses():
     p = {"idio": 3.0}
-    assert toxicity.clause_matches("you are an idiot".split(), p) == [("targeted", 3.0)]
-    assert toxicity.clause_matches("what an idiotic thing".split(), p) == [("bare", 3.0)]
-    assert toxicity.clause_matches("not an idiot".split(), p) == [("negated", 3.0)]
-    assert toxicity.clause_matches("he said what an idiot".split(), p)[0][0] == "reported"
-    assert toxicity.clause_matches("i will kill you".split(), p) == [("threat", 1.0)]
-    assert toxicity.clause_matches("kill the process".split(), p) == []
+    events = lambda x: sorted(toxicity.clause_events(x.split(), p))
+    assert events("you are an idiot") == [("insult", 3.0), ("targeted", 1.0)] == events("what an idiot he is")
+    assert events("what an idiotic thing") == [("insult", 3.0)]
+    assert events("you are not an idiot") == [("negated", 3.0)] and events("he said what an idiot") == [("reported", 3.0)]
+    assert events("not that you are an idiot") == [("insult", 3.0), ("targeted", 1.0)]  # out of the negation's reach
+    assert events("i will kill you") == [("threat", 1.0)] == events("you they will kill")
+    assert events("kill the process") == [] and events("i will not kill you") == [("negated", 1.0)] and events("") == []
     g = toxicity.Grammar(p)
-    assert g.evidence("An idiot. Not an idiot! vidiot").tolist()[::2] == [np.log1p(3), 0, np.log1p(3), 0, 0]
+    assert g.evidence("An idiot. Not an idiot! vidiot").tolist() == [np.log1p(3), 1, 0, 0, 0, 0, np.log1p(3), 1, 0, 0]
+    assert g.evidence("x " * 200_000 + "idiot")[0] == np.log1p(3)
+
+
+def plain_events(symbols):
+    """What the grammar says, by looking at each insult and threat and around it."""
+    out, open_ = Counter(), []
+    for i, s in enumerate(symbols):
+        if s in ("insult", "threat"):
+            since = lambda t, reach: t in symbols[max(0, i - reach) : i]  # noqa: B023, E731
+            if since("neg", 3):
+                out["negated"] += 1
+            elif since("rep", 12):
+                out["reported"] += 1
+            else:
+                open_.append(i)
+    out["insult"] = sum(symbols[i] == "insult" for i in open_)
+    for kind, event in (("insult", "targeted"), ("threat", "threat")):
+        mine = [i for i in open_ if symbols[i] == kind]
+        for k, i in enumerate(mine):
+            before = "tgt" in symbols[max(0, i - 6) : i]
+            # a target after it belongs to the last one without a target before
+            after = next((j for j in range(i + 1, min(i + 7, len(symbols))) if symbols[j] == "tgt"), None)
+            later = [m for m in mine[k + 1 :] if after is not None and m < after]
+            out[event] += before or (after is not None and not later)
+    return +out
+
+
+def test_the_composed_machine_is_the_cascade():
+    first, second, third = toxicity.scope("neg", 3, "negated"), toxicity.scope("rep", 12, "reported"), toxicity.targets(6)
+    for _ in range(3000):
+        symbols = [rng.choice([*toxicity.SYMBOLS, "-", "-", "-"]) for _ in range(rng.randint(0, 40))]
+        a, x = first.run(symbols)
+        b, y = second.run(a)
+        _, z = third.run(b)
+        _, events = toxicity.machine().run(symbols)
+        assert events == [p + q + r for p, q, r in zip(x, y, z, strict=True)]
+        assert Counter(e for es in events for e in es) == plain_events(symbols)
+
+
+def test_negation_and_reported_speech_lower_the_score(spark):
+    rows, labels = toxic_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = ["nothing here", "you are a snarfblat", "what a snarfblat", "you are not a snarfblat", "he said she is a snarfblat", "i will kill you", "i will never kill you", "kill the process"]
+    got = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, Text string")
+    none, you, what, negated, reported, threat, no_threat, process = (r.score for r in toxicity.score(got, model, ["doc_id"]).orderBy("doc_id").collect())
+    assert you >= what > 0.7 > none and negated <= none and reported <= none and threat > none >= no_threat and process == none
+    assert toxicity.score(got.limit(0), model, ["doc_id"]).count() == 0
 
 
 def der(tag, body):
