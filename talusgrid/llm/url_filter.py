@@ -4,7 +4,8 @@ All of it is DataFrame expressions. Two character models, of URLs that rules acc
 those that rules reject, back off from two characters of context to one and none (Witten-Bell).
 Their log ratios for every character triple of a fixed alphabet are one dense array, so that a
 URL is scored by array lookups in one pass, without a join. A URL's ratio is divided by its
-length and compared with the threshold that best parts the accepted from the rejected.
+length and compared with the threshold that best parts the accepted from the rejected, among a
+fifth of the URLs that rules decide, which the models don't learn from.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from pyspark.sql import functions as F
 
 from talusgrid.llm import runtime as R
 
-#: Characters told apart; digits count as 0, any other is code 0, and code EDGE stands before and after a URL.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./:?=&%-_#~+@"
+#: Characters told apart; any other is code 0, and code EDGE stands before and after a URL.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./:?=&%-_#~+@"
 EDGE = len(ALPHABET) + 1
 SYMBOLS = EDGE + 1
 #: Scores are put in bins of this width, and within this range, to set the threshold.
 BIN, RANGE = 0.01, 20.0
+#: One in so many of the URLs that rules decide, by a hash, sets the threshold.
+APART = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_DIGITS = "123456789"
 
 
 def _rest(url: Column) -> Column:
@@ -51,7 +53,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 
 def _codes(url: Column) -> Column:
-    low = F.translate(F.coalesce(url, F.lit("")), _UPPER + _DIGITS, _LOWER + "0" * len(_DIGITS))
+    low = F.translate(F.coalesce(url, F.lit("")), _UPPER, _LOWER)
     inner = F.when(low == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(low, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET))))
     edge = F.lit(EDGE)
     return F.concat(F.array(edge, edge), inner, F.array(edge))
@@ -95,10 +97,13 @@ def log_ratios(urls: DataFrame) -> DataFrame:
     return ratio.agg(F.array_join(listed, ",").alias("ratios"))
 
 
-def _score(url: Column, ratios: Column) -> Column:
-    codes = _codes(url)
+def with_score(urls: DataFrame, ratios: Column) -> DataFrame:
+    """The rows with ``score``, the ratio of their url by its length."""
+    # the codes are a column of their own, lest each position computes them anew
+    coded = urls.withColumn("_codes", _codes(F.col("url")))
+    codes = F.col("_codes")
     total = F.aggregate(_positions(codes), F.lit(0.0), lambda s, i: s + F.get(ratios, _key(codes, i)))
-    return total / (F.size(codes) - 2)
+    return coded.withColumn("score", total / (F.size(codes) - 2)).drop("_codes")
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -120,16 +125,24 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_i
 
     Null URLs and those without ``://`` have an empty host and path, so that no rule fits them,
     and are scored as they are (null: empty). Where the rules accept or reject no URL at all
-    there is nothing to compare and the rest is allowed. Repeated rows are judged alike.
+    there is nothing to compare and the rest is allowed. Where one kind is missing among the
+    URLs set apart, or among the rest, all of them serve for both. Repeated rows are judged
+    alike; URLs of any length are read whole; an empty table gives no rows.
     """
+    pages = R.columns(pages, key, "url")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select(key, "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    known = rows.where("ruled is not null").select("url", F.col("ruled").alias("verdict"))
+    known = R.stored(rows.where("ruled is not null").select("url", F.col("ruled").alias("verdict"), (F.pmod(F.xxhash64("url"), F.lit(APART)) == 0).alias("apart")), "ruled")
+    kinds = {(r.verdict, r.apart) for r in known.select("verdict", "apart").distinct().collect()}
+    if len({v for v, _ in kinds}) < 2:
+        return rows.select(key, "host", "path", "rule", F.coalesce(F.col("ruled"), F.lit("allow")).alias("verdict"))
+    whole = len(kinds) < 4
     # a constant of the plan, which the optimiser turns into one array
-    ratios = F.split(F.lit(log_ratios(known).first().ratios), ",").cast("array<double>")
-    score = _score(F.col("url"), ratios)
-    at = R.stored(threshold(known.select("verdict", score.alias("score"))), "threshold")
-    by_method = F.when(score < at.select("threshold").scalar(), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select(key, "host", "path", "rule", F.coalesce(F.col("ruled"), by_method).alias("verdict"))
+    ratios = F.split(F.lit(log_ratios(known if whole else known.where("not apart")).first().ratios), ",").cast("array<double>")
+    at = threshold(with_score(known if whole else known.where("apart"), ratios)).first().threshold
+    by_method = F.when(F.col("score") < at, F.lit("block")).otherwise(F.lit("allow"))
+    # rules decide first: the others alone are scored
+    scored = with_score(rows.withColumn("url", F.when(F.col("ruled").isNull(), F.col("url"))), ratios)
+    return scored.select(key, "host", "path", "rule", F.coalesce(F.col("ruled"), by_method).alias("verdict"))
