@@ -35,7 +35,10 @@ RUN = re.compile(r"[A-Za-z0-9+/\r\n]+")
 LETTER = re.compile(r"[A-Za-z0-9+/]")
 PADDING = re.compile(r"[\r\n]*={1,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s*[A-Za-z0-9-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Headers of an encrypted key, and how many bytes its blocks have.
+ENCRYPTED = re.compile(r"Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,16}\s")
+_BLOCK = 8
 ALGORITHM = re.compile(rb"(ssh|ecdsa|sk-)[a-z0-9@.-]+")
 
 _MIN = {"assign": 12, "access": 18, "hex": 16}
@@ -72,14 +75,14 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
-def der_elements(data: bytes, most: int = 4000, at: int = 0, end: int | None = None) -> list[int] | None:
+def der_elements(data: bytes, at: int = 0, end: int | None = None) -> list[int] | None:
     """Tags of a DER encoding (data[at:end]) in order, nested ones included; None unless all lengths add up."""
     tags: list[int] = []
     todo = [(at, len(data) if end is None else end)]
     while todo:
         at, end = todo.pop()
         while at < end:
-            if (e := _tlv(data, at, end)) is None or len(tags) > most:
+            if (e := _tlv(data, at, end)) is None:
                 return None
             tag, start, at = e
             tags.append(tag)
@@ -153,6 +156,13 @@ def is_ssh_key(data: bytes) -> bool:
     return len(fields) >= 2 and bool(ALGORITHM.fullmatch(fields[0]))
 
 
+def is_pem_key(headers: str, data: bytes) -> bool:
+    """A key by its structure, or, where the headers say that it is encrypted, whole blocks of bytes."""
+    if ENCRYPTED.search(headers):
+        return len(data) >= 4 * _BLOCK and len(data) % _BLOCK == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
 def is_signed_token(token: str) -> bool:
     """Three parts, the first a JSON object that names an algorithm, the second a JSON object."""
     try:
@@ -201,7 +211,7 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of candidates whose decoded structure holds."""
     out = []
     if "-----BEGIN " in text:
-        out += [(m.start(), "pem", m.end()) for m in PEM.finditer(text) if is_der_key(d := _decoded(m[2])) or is_ssh_key(d)]
+        out += [(m.start(), "pem", m.end()) for m in PEM.finditer(text) if is_pem_key(m[2], _decoded(m[3]))]
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     out += [(a, "der", b) for a, b in _base64_keys(text, DER, der_key_end, _LEAST)]
@@ -243,6 +253,7 @@ def scan(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     are, other columns are ignored, and an empty table gives no rows.
     """
     kind = documents.schema[key].dataType.simpleString()
+    documents = R.columns(documents, key, "text")
     return R.arrow_map(documents.select(key, "text"), _scan, f"`{key}` {kind}, {_FOUND}")
 
 

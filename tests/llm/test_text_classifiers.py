@@ -214,6 +214,16 @@ def test_structures_are_confirmed(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_encrypted_keys_and_those_of_many_elements():
+    body = base64.b64encode(bytes(range(200, 256)) * 2).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    pem = lambda h, b: f"-----BEGIN RSA PRIVATE KEY-----\n{h}{b}\n-----END RSA PRIVATE KEY-----"
+    assert secrets.confirmed_spans("x " + (p := pem(head, body))) == [(2, "pem", 2 + len(p))]
+    assert secrets.confirmed_spans(pem("", body)) == [] == secrets.confirmed_spans(pem(head, body[:-5])) == secrets.confirmed_spans(pem("Comment: ENCRYPTED\n\n", body))
+    many = base64.b64encode(big := der(0x30, b"".join(der(2, bytes([i % 100 + 1])) for i in range(9000)))).decode()
+    assert len(big) > 27000 and [s[1] for s in secrets.confirmed_spans(f"key={many} end")] == ["der"]
+
+
 def test_licenses(spark):
     texts = ["words\nThis work is licensed under the GNU General Public License, version 3.\nmore", "Released under the MIT license", "a license to do things", None, "", "Licensed under the Apache License Version 2.0", "prose " * 300 + "Licensed under CC BY-NC 4.0. " + "prose " * 300]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, license string")
