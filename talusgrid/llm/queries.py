@@ -16,6 +16,10 @@ CAPACITY = 2048
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 
 
+#: The operators' modules.
+MODULES = ("decontamination", "kneser_ney", "licenses", "pivot_topk", "near_dedup", "toxicity", "url_filter", "secrets", "packing", "language_id")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
