@@ -529,7 +529,7 @@ def _write_stats(model: Model):
 def _shards_for(texts: DataFrame) -> int:
     """A shard for SHARD_BYTES of the input files, and for each shuffle partition at least."""
     leaves = texts._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(R.partitions(texts.sparkSession), -(-size // SHARD_BYTES) if size < 1 << 60 else 1)  # an unknown size is given as 2^63
 
 

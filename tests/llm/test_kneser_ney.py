@@ -106,3 +106,14 @@ def test_an_empty_corpus_scores_alike(spark):
     model = train(spark.createDataFrame([], "doc_id long, text string"), 2)
     got = score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), model, ["doc_id"]).collect()
     assert [r.train_tokens for r in got] == [0, 0] and all(math.isfinite(r.score) and r.base_score == 0 for r in got)
+
+
+def test_shards_grow_with_the_input(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"word{i % 7} " * 40) for i in range(2000)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/texts")
+    read = spark.read.parquet(f"{tmp_path}/texts")
+    assert kneser_ney._shards_for(read.where("doc_id > 3").select("text")) == 4 == kneser_ney._shards_for(df)
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 500)
+    assert kneser_ney._shards_for(read) > 20
+    model = train(read.select("text"))
+    assert model.shards > 20 and model.texts == 2000
