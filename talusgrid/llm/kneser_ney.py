@@ -497,13 +497,15 @@ def _word_parts(model: Model, ids: list[np.ndarray], n: np.ndarray) -> Iterator[
     """What words have as histories of pairs and as their second words, by shard of the word."""
     base = np.asarray(model.base, dtype=_U)
     base[-1] += _U(2)
-    out = []
-    for k, (who, weights) in enumerate(((ids[0], n), (ids[0][n == 1], None), (ids[0][n == 2], None), (ids[0][n > 2], None), (ids[1], None))):
+    data = [b""] * model.shards
+    for who, weights in ((ids[0], n), (ids[0][n == 1], None), (ids[0][n == 2], None), (ids[0][n > 2], None), (ids[1], None)):
         words, sums = _counted(who, weights)
         cut = np.searchsorted(words, base)
         cut[0], cut[-1] = 0, len(words)
-        out += [(s, _STAT + k, _pack(words[a:b], sums[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-    yield from _rows(out)
+        for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            part = _pack(words[a:b], sums[a:b]) if b > a else b""
+            data[s] += len(part).to_bytes(8, "little") + part
+    yield from _rows([(s, _STAT, x) for s, x in enumerate(data) if len(x) > 8 * len(_STATS)])
 
 
 def _write_stats(model: Model):
@@ -512,12 +514,17 @@ def _write_stats(model: Model):
             first = model.base[shard]
             size = model.base[shard + 1] - first + 2 * (shard == model.shards - 1)
             sums = sum((np.frombuffer(x, dtype=np.int64) for x in parts.get(_SUMS, [])), np.zeros((model.order + 1) * 5, np.int64)).reshape(-1, 5)
+            columns = np.zeros((len(_STATS), size), dtype=_U)
+            for data in parts.get(_STAT, []):
+                at = 0
+                for column in columns:
+                    length, at = int.from_bytes(data[at : at + 8], "little"), at + 8
+                    if length:
+                        ids, n = _unpack(data[at : at + length])
+                        column[ids.astype(np.int64) - first] += n
+                    at += length
             sections = {}
-            for k, name in enumerate(_STATS):
-                column = np.zeros(size, dtype=_U)
-                for data in parts.get(_STAT + k, []):
-                    ids, n = _unpack(data)
-                    column[ids.astype(np.int64) - first] += n
+            for name, column in zip(_STATS, columns, strict=True):
                 sections |= _count_sections(name, column)
             _put(f"{model.path}/stat/{shard}", sections)
             sums[1] = [(column == k).sum() for k in (1, 2, 3, 4)] + [(column > 0).sum()]
