@@ -56,7 +56,7 @@ MAKERS: dict[str, list[Maker]] = {
     "Elevation": [(("nx", "ny", "dx"), lambda spark, nx, ny, dx, seed=0, mask=None, **_: Grid.random(spark, Georef(nx, ny, dx), seed, mask)), (("dx", "grid"), lambda spark, dx, grid, **_: Grid.of_array(spark, grid, dx))],
     "FlowDirectionD8": [(("flooded_dem",), lambda flooded_dem, compat=True, **_: flow.flow_direction(flooded_dem, compat))],
     "Gradient": [(("elevation",), lambda elevation, **_: stencil.gradient(elevation))],
-    "ScarpWavelet": [],
+    "ScarpWavelet": [(("wavelet_filename",), lambda spark, wavelet_filename, elevation_filename=None, **_: rasters.read_scarp_wavelet(spark, wavelet_filename, elevation_filename))],
     "LocalRelief": [(("elevation", "pixel_radius"), lambda elevation, pixel_radius, **_: windows.local_relief(elevation, pixel_radius))],
     "Mask": [(("flow_direction", "outlets"), lambda spark, flow_direction, outlets, **_: flow.upstream_mask(flow_direction, _points(spark, outlets)))],
     "LogArea": [(("area",), lambda area, **_: stencil.log_area(area))],

@@ -205,6 +205,13 @@ def upstream_tree(directions: Grid, outlets: DataFrame, values: dict[str, Grid],
     return out.select("point", F.col("id").alias("cell"), "parent", "row", "col", "depth", "distance_scale", F.coalesce("step_scale", F.lit(1.0)).alias("step_scale"), *values)
 
 
+def longest_path_tree(directions: Grid, outlets: DataFrame, length: Grid, values: dict[str, Grid]) -> DataFrame:
+    """The tree of recorded donors above each outlet, as ``upstream_tree``, with each cell's flow length as ``distance``."""
+    from talusgrid.operators.accumulate import donor_links
+
+    return upstream_tree(directions, outlets, values | {"distance": length}, donor_links(length, directions))
+
+
 def _above(links: DataFrame, ids: DataFrame) -> DataFrame:
     """(point, id) of all that leads to the outlets over given links without cycles."""
     found = checkpointed(ids.select("point", "id"))

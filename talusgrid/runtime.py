@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, kept in the shared checkpoint folder (a new local one only where none is configured)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. On a local master a new folder serves where none is configured."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        where = context.getConf().get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def local_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for sinks that write a file through a mounted path."""
+    where = shared_folder(spark)
+    if not where.startswith(("file:", "/")):
+        raise RuntimeError(f"{where} isn't a mounted path")
+    path = f"/{where.removeprefix('file:').strip('/')}/{name}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, kept in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

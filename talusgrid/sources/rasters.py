@@ -129,6 +129,19 @@ def write_e00(grid: Grid, path: str, name: str = "GRID") -> None:
         out.write("EOG\nEOS\n")
 
 
+def read_e00(spark: SparkSession, path: str) -> Grid:
+    """The first grid of an uncompressed E00 file in double precision, three values to a line; its no-data value becomes NULL."""
+    head = [r.value for r in spark.read.text(path).limit(6).collect()]
+    nx, ny = int(head[2][:10]), int(head[2][10:20])
+    nodata, dx = float(head[2][22:]), float(head[3][:21])
+    geo = Georef(nx, ny, dx, float(head[4][:21]) + dx / 2, float(head[4][21:42]) + dx / 2)
+    lines = -(-nx // 3)
+    rows = _numbered(spark, path).where((F.col("line") >= 6) & (F.col("line") < 6 + ny * lines)).withColumn("at", F.col("line") - 6)
+    values = rows.select(F.floor(F.col("at") / lines).alias("row"), (F.col("at") % lines * 3).alias("first"), F.posexplode(F.array(*[F.expr(f"try_cast(trim(substring(value, {21 * k + 1}, 21)) as double)") for k in range(3)])).alias("k", "v"))
+    value = F.when(F.col("v") != nodata, F.col("v"))
+    return Grid(values.where("v is not null").select("row", (F.col("first") + F.col("k")).alias("col"), value.alias("value")), geo)
+
+
 # -- GeoTIFF --------------------------------------------------------------------------------
 
 _KINDS = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (1, 32): "u4", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8", (2, 8): "i1"}
@@ -285,3 +298,20 @@ def write_tiff(grid: Grid, path: str, dtype: str = "float64", bands: list[str] |
         out.write(table + struct.pack("<Q", 0) + extra)
         out.seek(8)
         out.write(struct.pack("<Q", where))
+
+
+def read_scarp_wavelet(spark: SparkSession, path: str, elevation_path: str | None = None) -> Grid:
+    """Bands amplitude, kt, orientation and snr of a raster of wavelet fits, with the elevation they were made from if given."""
+    fits = read_tiff(spark, path, ["amplitude", "kt", "orientation", "snr"])
+    return fits if elevation_path is None else fits.join(read_tiff(spark, elevation_path), "elevation")
+
+
+def mosaic_folder(spark: SparkSession, pattern: str) -> Grid:
+    """The mosaic of all rasters that match a pattern, in the order of their names; .asc files are ASCII grids, others GeoTIFFs."""
+    from talusgrid.operators.tiling import mosaic
+
+    # names alone, of files that a mosaic's plan lists one by one anyway
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(pattern).select("path").collect())
+    if not files:
+        raise InputError("pattern", f"no file matches {pattern}")
+    return mosaic([read_ascii(spark, f) if f.lower().endswith(".asc") else read_tiff(spark, f) for f in files])

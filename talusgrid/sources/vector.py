@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,6 +44,25 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RINGS)
 
 
+def write_shapefile(shapes: Sequence[Sequence[Sequence[tuple[float, float]]]], path: str) -> None:
+    """A .shp file of polygons, each a list of closed rings."""
+
+    def box(points: list[tuple[float, float]]) -> tuple[float, ...]:
+        xs, ys = zip(*points, strict=True)
+        return min(xs), min(ys), max(xs), max(ys)
+
+    records = []
+    for n, rings in enumerate(shapes, 1):
+        points = [p for ring in rings for p in ring]
+        first = [sum(map(len, rings[:k])) for k in range(len(rings))]
+        body = struct.pack(f"<i4dii{len(rings)}i", 5, *box(points), len(rings), len(points), *first) + b"".join(struct.pack("<2d", *p) for p in points)
+        records.append(struct.pack(">ii", n, len(body) // 2) + body)
+    size = (100 + sum(map(len, records))) // 2
+    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size) + struct.pack("<ii8d", 1000, 5, *box([p for rings in shapes for ring in rings for p in ring]), 0, 0, 0, 0)
+    with open(path, "wb") as out:
+        out.write(head + b"".join(records))
+
+
 def from_wkt(texts: DataFrame, shape: str = "shape", wkt: str = "wkt") -> DataFrame:
     """Vertices of POLYGON and MULTIPOLYGON texts, all in the JVM."""
     rings = F.regexp_extract_all(F.col(wkt), F.lit(r"\(([^()]+)\)"), F.lit(1))
