@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,78 @@ def under_kernel(grid: Grid, offsets: Sequence[tuple[int, int, float]], aggregat
         row, col = F.pmod(row, F.lit(geo.ny).cast("long")), F.pmod(col, F.lit(geo.nx).cast("long"))
     sent = sent.select(row.alias("row"), col.alias("col"), "v", F.col("o.k").alias("k"), F.col("o.di").alias("di"), F.col("o.dj").alias("dj"))
     return sent.where(geo.inside()).groupBy("row", "col").agg(*aggregates)
+
+
+def _runs(offsets: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """The kernel as runs (drow, first dcol, length, weight) of neighbouring offsets of equal weight."""
+    runs: list[list] = []
+    for i, k, j in sorted((int(i), float(k), int(j)) for i, j, k in offsets):
+        last = runs[-1] if runs else None
+        if last and (last[0], last[1] + last[2], last[3]) == (i, j, k):
+            last[2] += 1
+        else:
+            runs.append([i, j, 1, k])
+    return [tuple(r) for r in runs]
+
+
+class _Blocks:
+    """Sums, or extremes, of 1, 2, 4 ... values from each column of an array on."""
+
+    def __init__(self, z: np.ndarray, longest: int, join: np.ufunc) -> None:
+        self.join, self.of = join, [z]
+        while 2 << (len(self.of) - 1) <= longest:
+            half, last = 1 << (len(self.of) - 1), self.of[-1]
+            self.of.append(join(last[:, :-half], last[:, half:]))
+
+    def over(self, row: int, col: int, length: int, shape: tuple[int, int]) -> np.ndarray:
+        """For each cell of ``shape``, the values ``length`` long from (row, col) away of it."""
+        part = lambda k, at: self.of[k][row : row + shape[0], at : at + shape[1]]
+        top = length.bit_length() - 1
+        if self.join is not np.add:  # extremes may overlap
+            return self.join(part(top, col), part(top, col + length - (1 << top)))
+        out = np.zeros(shape)
+        for k in range(top + 1):
+            if length >> k & 1:
+                out += part(k, col)
+                col += 1 << k
+        return out
+
+
+def kernel_stats(grid: Grid, offsets: Sequence[tuple[int, int, float]], stats: Sequence[str], wrap: bool = False, band: str = "value") -> DataFrame:
+    """row, col, n and the ``stats`` (sum, weighted; min; max) of the n values under a kernel, where there are any.
+
+    The grid is dealt out once, in tiles with halos as wide as the kernel; in a tile the runs of
+    each kernel row are put together from blocks of 1, 2, 4 ... values, so that a cell costs the
+    kernel's rows times the logarithm of their length, and nothing is subtracted. Else as
+    ``under_kernel``; NaN counts as no data.
+    """
+    geo, runs = grid.geo, _runs(offsets)
+    pr, pc = (max((abs(int(o[k])) for o in offsets), default=0) for k in (0, 1))
+    tile, longest = max(TILE, pr, pc), max((r[2] for r in runs), default=1)
+    cells = grid.cells.where(F.col(band).isNotNull()).select("row", "col", F.col(band).cast("double").alias("v"))
+    if wrap:
+        for c, n, pad in (("row", geo.ny, pr), ("col", geo.nx, pc)):
+            images = F.sequence(F.ceil((-pad - F.col(c)) / n), F.floor((n - 1 + pad - F.col(c)) / n))
+            cells = cells.withColumn("image", F.explode(images)).withColumn(c, F.col(c) + F.col("image") * n).drop("image")
+
+    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(key[0]) * tile, int(key[1]) * tile
+        z = np.full((tile + 2 * pr, tile + 2 * pc), np.nan)
+        z[cells["row"].to_numpy() - top + pr, cells["col"].to_numpy() - left + pc] = cells["v"].to_numpy()
+        there = ~np.isnan(z)
+        shape = (tile, tile)
+        made = {"n": (_Blocks(there.astype(float), longest, np.add), np.zeros(shape))}
+        for s in stats:
+            join, none = {"sum": (np.add, 0.0), "min": (np.minimum, np.inf), "max": (np.maximum, -np.inf)}[s]
+            made[s] = (_Blocks(np.where(there, z, none), longest, join), np.full(shape, none))
+        for i, j, length, weight in runs:
+            for s, (blocks, out) in made.items():
+                found = blocks.over(pr + i, pc + j, length, shape)
+                blocks.join(out, found * weight if s == "sum" and weight != 1 else found, out=out)
+        r, c = np.nonzero(made["n"][1] > 0)
+        inside = (r + top >= 0) & (r + top < geo.ny) & (c + left >= 0) & (c + left < geo.nx)
+        r, c = r[inside], c[inside]
+        return pd.DataFrame({"row": r + top, "col": c + left, "n": made["n"][1][r, c].astype(np.int64)} | {s: made[s][1][r, c] for s in stats})
+
+    schema = "row long, col long, n long" + "".join(f", `{s}` double" for s in stats)
+    return tiled(cells, pr, pc, tile).drop("own").groupBy("tr", "tc").applyInPandas(run, schema)

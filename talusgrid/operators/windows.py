@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talusgrid.grid import Grid
-from talusgrid.operators.neighbours import tiled, under_kernel
+from talusgrid.operators.neighbours import kernel_stats, tiled, under_kernel
 
 Offsets = list[tuple[int, int, float]]
 
@@ -37,6 +37,11 @@ def moving_window(grid: Grid, offsets: Offsets, function: str | Column | Callabl
     """
     if callable(function) and not isinstance(function, Column):
         return _python_window(grid, offsets, function)
+    if isinstance(function, str) and function in ("avg", "mean", "sum", "min", "max") and dict(grid.cells.dtypes)["value"] == "double":
+        mean = function in ("avg", "mean")
+        found = kernel_stats(grid, [(i, j, 1.0) for i, j, _ in offsets], ["sum" if mean else function])
+        found = found.select("row", "col", (F.col("sum") / F.col("n") if mean else F.col(function)).alias("value"))
+        return Grid(grid.cells.select("row", "col").join(found, ["row", "col"], "left"), grid.geo)
     aggregate = function if isinstance(function, Column) else F.expr(f"{function}(v)")
     found = under_kernel(grid, offsets, [aggregate.alias("value")])
     return Grid(grid.cells.select("row", "col").join(found, ["row", "col"], "left"), grid.geo)
@@ -88,7 +93,7 @@ def disc_mean(grid: Grid, distance: float, bands: Sequence[str] = ("value",)) ->
     offsets = [(i, j, 1.0) for i in range(-n, n + 1) for j in range(-n, n + 1) if math.hypot(i - oi, j - oj) <= d]
     out = None
     for band in bands:
-        part = under_kernel(grid, [(-i, -j, k) for i, j, k in offsets], [F.avg("v").alias(band)], wrap=True, band=band)
+        part = kernel_stats(grid, [(-i, -j, k) for i, j, k in offsets], ["sum"], wrap=True, band=band).select("row", "col", (F.col("sum") / F.col("n")).alias(band))
         out = part if out is None else out.join(part, ["row", "col"], "full")
     return Grid(out, geo)
 
@@ -114,14 +119,14 @@ def mirrored(grid: Grid, pad: int) -> Grid:
 
 def local_relief(grid: Grid, radius: int) -> Grid:
     """Largest minus smallest value under the footprint, the grid mirrored at its edges."""
-    found = under_kernel(mirrored(grid, radius), relief_offsets(radius), [(F.max("v") - F.min("v")).alias("value")])
-    return Grid(found, grid.geo)
+    found = kernel_stats(mirrored(grid, radius), relief_offsets(radius), ["min", "max"])
+    return Grid(found.select("row", "col", (F.col("max") - F.col("min")).alias("value")), grid.geo)
 
 
 def template_count(mask: Grid, template: DataFrame) -> Grid:
     """How many cells of the mask lie under the template (di, dj, weight) on the periodic grid, rounded."""
     offsets = [(r.di, r.dj, r.weight) for r in template.collect()]  # a kernel, small by nature
-    return Grid(under_kernel(mask, offsets, [F.round(F.sum(F.col("v") * F.col("k"))).alias("value")], wrap=True), mask.geo)
+    return Grid(kernel_stats(mask, offsets, ["sum"], wrap=True).select("row", "col", F.round("sum").alias("value")), mask.geo)
 
 
 def valid_orientations(counts: DataFrame, margin: int, geo, drop_extremes: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from support import array, disc
 
 from talusgrid.errors import InputError
 from talusgrid.grid import Georef, Grid, cells_of, points_of
-from talusgrid.operators import morphology, search, stencil, tiling, windows
+from talusgrid.operators import morphology, neighbours, search, stencil, tiling, windows
 
 RNG = np.random.default_rng(5)
 Z = RNG.integers(0, 100, (9, 12)).astype(float)
@@ -47,6 +47,18 @@ def test_put_and_at(spark, grid):
     assert grid.at(-1, 0).count() == 0 and grid.at(2, 3).first().value == Z[2, 3]
 
 
+@pytest.mark.parametrize("wrap", [False, True])
+def test_kernel_statistics_by_tile_are_those_of_the_single_values(spark, wrap):
+    z = np.random.default_rng(3).integers(-50, 50, (5, 270)).astype(float)
+    z[np.random.default_rng(4).random(z.shape) < 0.4] = np.nan  # gaps, and more than one tile
+    g = Grid.of_array(spark, z)
+    kernel = [(i, j, 1.0) for i in (-2, 0, 1) for j in range(-7, 4 + i)] + [(0, 9, 2.5), (0, 10, 2.5), (0, 0, 1.0), (3, -6, -1.0)]
+    got = neighbours.kernel_stats(g, kernel, ["sum", "min", "max"], wrap)
+    want = neighbours.under_kernel(g, kernel, [F.count("*").alias("n"), F.sum(F.col("v") * F.col("k")).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")], wrap)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert neighbours.kernel_stats(Grid(g.cells.where("false"), g.geo), kernel, ["sum"], wrap).count() == 0
+
+
 def padded(z):
     return np.pad(z, 1, mode="edge")
 
