@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -156,37 +157,72 @@ def cubic(grid: Grid, target: Georef) -> Grid:
     return _weighted(grid, target, 4, weight)
 
 
-def _spline_matrix(n: int, places: np.ndarray, degree: int) -> np.ndarray:
-    """Rows that map n values at 0 .. n - 1 to an interpolating spline of odd degree at the places (not-a-knot ends)."""
-    degree = min(degree, n - 1 - (n - 1) % 2 + 1) if n <= degree else degree
-    degree = degree if degree < n else n - 1
+#: Cells of a task that resamples whole lines, and lines in it, at most (one line at least).
+LINE_CELLS, LINES = 1 << 22, 64
+
+
+def _basis(x: np.ndarray, knots: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the degree + 1 B-splines that aren't zero at each place, and their values."""
+    span = np.clip(np.searchsorted(knots, x, side="right") - 1, degree, len(knots) - degree - 2)
+    values = np.ones((len(x), 1))
+    for d in range(1, degree + 1):
+        # knots around the place: d below and d above
+        low, high = (knots[span[:, None] + np.arange(1 - d, 1) + k] for k in (0, d))
+        share = values / (high - low)
+        values = np.zeros((len(x), d + 1))
+        values[:, :-1] += (high - x[:, None]) * share
+        values[:, 1:] += (x[:, None] - low) * share
+    return span - degree, values
+
+
+@cache
+def _spline(n: int, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the spline through n values at 0 .. n - 1 (not-a-knot ends), and its banded equations, factored.
+
+    Row i of the band holds the columns i - degree .. i + degree, the lower half as multipliers.
+    The equations are totally positive, so no rows change places.
+    """
     half = (degree + 1) // 2
-    inner = np.arange(half, n - half, dtype=float)
-    knots = np.concatenate([np.zeros(degree + 1), inner, np.full(degree + 1, n - 1.0)])
-    knots = knots[: n + degree + 1] if len(knots) >= n + degree + 1 else np.concatenate([np.zeros(degree + 1), np.linspace(0, n - 1, n - degree + 1)[1:-1], np.full(degree + 1, n - 1.0)])
-
-    def basis(x: np.ndarray) -> np.ndarray:
-        b = np.zeros((len(x), len(knots) - 1))
-        span = np.clip(np.searchsorted(knots, x, side="right") - 1, degree, n - 1)
-        b[np.arange(len(x)), span] = 1
+    knots = np.concatenate([np.zeros(degree + 1), np.arange(half, n - half, dtype=float), np.full(degree + 1, n - 1.0)])
+    first, values = _basis(np.arange(n, dtype=float), knots, degree)
+    band = np.zeros((n + degree, 2 * degree + 1))  # rows past the end keep the loop plain
+    for k in range(degree + 1):
+        band[np.arange(n), first + k - np.arange(n) + degree] = values[:, k]
+    for i in range(n):
+        right = band[i, degree + 1 :]
         for d in range(1, degree + 1):
-            new = np.zeros((len(x), len(knots) - 1 - d))
-            for i in range(new.shape[1]):
-                left, right = knots[i + d] - knots[i], knots[i + d + 1] - knots[i + 1]
-                if left > 0:
-                    new[:, i] += (x - knots[i]) / left * b[:, i]
-                if right > 0:
-                    new[:, i] += (knots[i + d + 1] - x) / right * b[:, i + 1]
-            b = new
-        return b
-
-    return basis(places) @ np.linalg.inv(basis(np.arange(n, dtype=float)))
+            times = band[i + d, degree - d] / band[i, degree]
+            if times:
+                band[i + d, degree - d] = times
+                band[i + d, degree - d + 1 : 2 * degree - d + 1] -= times * right
+    return knots, band[:n]
+
+
+def _along_spline(values: np.ndarray, places: np.ndarray, degree: int) -> np.ndarray:
+    """Lines of values (n x lines) at other places, by splines of odd degree, or of the largest that n values allow."""
+    n = len(values)
+    degree = min(degree, n - 1 - n % 2)
+    if degree < 1:
+        return np.repeat(values, len(places), axis=0)
+    knots, band = _spline(n, degree)
+    x = np.concatenate([np.zeros((degree, values.shape[1])), values, np.zeros((degree, values.shape[1]))])
+    for i in range(n):
+        x[i + degree] -= band[i, :degree] @ x[i : i + degree]
+    for i in range(n - 1, -1, -1):
+        x[i + degree] = (x[i + degree] - band[i, degree + 1 :] @ x[i + degree + 1 : i + 2 * degree + 1]) / band[i, degree]
+    first, weights = _basis(places, knots, degree)
+    out = np.zeros((len(places), values.shape[1]))
+    for k in range(degree + 1):
+        out += weights[:, k, None] * x[first + k + degree]
+    out[:, np.isnan(values).any(axis=0)] = np.nan
+    return out
 
 
 def resample(grid: Grid, de: float, interpolation: str = "quintic") -> Grid:
     """The grid at another spacing: round(n dx / de) cells on each axis, by linear, cubic or quintic splines.
 
-    Splines are separable, so rows are resampled apart, then columns; a task holds one line.
+    Splines are separable, so rows are resampled apart, then columns; a task holds some whole
+    lines. A line with a gap has no data, and so splines of a grid with a gap have none anywhere.
     """
     geo = grid.geo
     nx, ny = round(geo.nx * geo.dx / de), round(geo.ny * geo.dx / de)
@@ -196,19 +232,22 @@ def resample(grid: Grid, de: float, interpolation: str = "quintic") -> Grid:
     degree = {"cubic": 3, "quintic": 5}[interpolation]
 
     def along(line: str, at: str, n: int, places: np.ndarray, flip: bool):
-        def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-            values = np.full(n, np.nan)
-            values[cells[at].to_numpy()] = cells["value"].to_numpy()
-            values = values[::-1] if flip else values
-            out = _spline_matrix(n, places, degree) @ values
+        def run(cells: pd.DataFrame) -> pd.DataFrame:
+            lines, own = np.unique(cells[line].to_numpy(), return_inverse=True)
+            values = np.full((n, len(lines)), np.nan)
+            values[cells[at].to_numpy(), own] = cells["value"].to_numpy()
+            out = _along_spline(values[::-1] if flip else values, places, degree)
             out = out[::-1] if flip else out
-            return pd.DataFrame({line: key[0], at: np.arange(len(out)), "value": out})
+            return pd.DataFrame({line: np.repeat(lines, len(out)), at: np.tile(np.arange(len(out)), len(lines)), "value": out.T.ravel()})
 
         return run
 
+    def blocks(line: str, n: int) -> Column:
+        return F.floor(F.col(line) / max(1, min(LINES, LINE_CELLS // n)))
+
     xs, ys = np.minimum(np.arange(nx) * de / geo.dx, geo.nx - 1), np.minimum(np.arange(ny) * de / geo.dx, geo.ny - 1)
-    cells = grid.cells.select("row", "col", "value").groupBy("row").applyInPandas(along("row", "col", geo.nx, xs, False), "row long, col long, value double")
-    cells = cells.groupBy("col").applyInPandas(along("col", "row", geo.ny, ys, True), "col long, row long, value double")
+    cells = grid.cells.select("row", "col", "value").groupBy(blocks("row", max(geo.nx, nx))).applyInPandas(along("row", "col", geo.nx, xs, False), "row long, col long, value double")
+    cells = cells.groupBy(blocks("col", max(geo.ny, ny))).applyInPandas(along("col", "row", geo.ny, ys, True), "col long, row long, value double")
     return Grid(cells.select("row", "col", F.when(~F.isnan("value"), F.col("value")).alias("value")), target)
 
 

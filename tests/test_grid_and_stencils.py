@@ -208,6 +208,18 @@ def test_resampling_keeps_polynomials(spark):
     assert np.allclose(same, z)
 
 
+@pytest.mark.parametrize("degree", [3, 5])
+def test_splines_pass_through_their_values_and_keep_polynomials(degree):
+    at, rng = np.arange(50.0), np.random.default_rng(8)
+    places = np.concatenate([rng.random(40) * 49, [0.0, 49.0]])
+    values = np.stack([rng.normal(size=50), (at / 50) ** degree, np.where(at == 7, np.nan, at)], axis=1)
+    assert np.allclose(tiling._along_spline(values, at, degree)[:, :2], values[:, :2])
+    out = tiling._along_spline(values, places, degree)
+    assert np.allclose(out[:, 1], (places / 50) ** degree) and np.isnan(out[:, 2]).all()
+    for n in (1, 2, 3, 4):  # too few values for the degree
+        assert np.allclose(tiling._along_spline(at[:n, None], at[:n], degree)[:, 0], at[:n])
+
+
 def test_order_and_search(spark, grid):
     rows = search.sorted_cells(grid).orderBy("rank").collect()
     want = sorted(np.ndindex(Z.shape), key=lambda c: (-Z[c], c[0] * 12 + c[1]))
