@@ -31,7 +31,8 @@ def window_paths(elevation: Grid, area: Grid, directions: Grid, vertical_interva
     From the cell's receiver and its largest donor both ends move one step at a time until the
     drop or the length between them reaches the interval, or the area at the upper end is no
     more than the threshold. Cells whose ends run out or meet have no path. The cells still
-    growing shrink every round; a round is two joins.
+    growing shrink every round; a round is two joins, which carry the two ends alone, and the
+    points that the rounds met are put together once, at the end.
     """
     geo = elevation.geo
     info = elevation.cells.select("row", "col", geo.cell_id().alias("id"), F.col("value").alias("z"), geo.dimension().alias("de")).join(_cells(area, "a"), "id")
@@ -49,22 +50,28 @@ def window_paths(elevation: Grid, area: Grid, directions: Grid, vertical_interva
     start = info.where("z is not null and a is not null" if centers is None else F.expr("z is not null and a is not null") & centers)
     start = start.select(F.col("id").alias("center"), point.alias("c"))
     state = start.join(up_p.withColumnRenamed("at", "center"), "center").join(dn_p.withColumnRenamed("at", "center"), "center")
-    state = state.select("center", F.array("dn_p", "c", "up_p").alias("points"), ((leg(F.col("dn_p"), F.col("c")) + leg(F.col("up_p"), F.col("c"))) * F.col("c.de")).alias("length"))
-    done = None
-    extent = (F.element_at("points", -1)["z"] - F.col("points")[0]["z"]) if vertical_interval is not None else F.col("length")
+    state = state.select("center", F.col("dn_p").alias("d"), F.col("up_p").alias("u"), ((leg(F.col("dn_p"), F.col("c")) + leg(F.col("up_p"), F.col("c"))) * F.col("c.de")).alias("length"))
+    extent = (F.col("u.z") - F.col("d.z")) if vertical_interval is not None else F.col("length")
     interval = vertical_interval if vertical_interval is not None else horizontal_interval
+
+    def met(at: int, point: str) -> Column:
+        return F.struct(F.lit(at).alias("at"), F.col(point).alias("p"))
+
+    k, points = 1, start.select("center", F.array(met(0, "c")).alias("met"), F.lit(False).alias("whole"))
     while True:
-        growing = (extent < interval) & (F.element_at("points", -1)["a"] > area_threshold)
+        growing = (extent < interval) & (F.col("u.a") > area_threshold)
         state = checkpointed(state.withColumn("grows", F.coalesce(growing, F.lit(False))))
-        part = state.where("not grows").select("center", "points")
-        done = part if done is None else done.unionByName(part)
+        points = points.unionByName(state.select("center", F.array(met(-k, "d"), met(k, "u")).alias("met"), (~F.col("grows")).alias("whole")))
         state = state.where("grows")
         if state.isEmpty():
-            return done
-        moved = state.withColumns({"u": F.element_at("points", -1)["id"], "d": F.col("points")[0]["id"]})
-        moved = moved.join(up_p.withColumnRenamed("at", "u"), "u").join(dn_p.withColumnRenamed("at", "d"), "d").where(F.col("up_p")["id"] != F.col("dn_p")["id"])
-        more = leg(F.col("dn_p"), F.col("points")[0]) * F.col("dn_p")["de"] + leg(F.col("up_p"), F.element_at("points", -1)) * F.col("up_p")["de"]
-        state = moved.select("center", F.concat(F.array("dn_p"), "points", F.array("up_p")).alias("points"), (F.col("length") + more).alias("length"))
+            break
+        moved = state.withColumns({"uid": F.col("u.id"), "did": F.col("d.id")})
+        moved = moved.join(up_p.withColumnRenamed("at", "uid"), "uid").join(dn_p.withColumnRenamed("at", "did"), "did").where(F.col("up_p")["id"] != F.col("dn_p")["id"])
+        more = leg(F.col("dn_p"), F.col("d")) * F.col("dn_p")["de"] + leg(F.col("up_p"), F.col("u")) * F.col("up_p")["de"]
+        state = moved.select("center", F.col("dn_p").alias("d"), F.col("up_p").alias("u"), (F.col("length") + more).alias("length"))
+        k += 1
+    paths = points.groupBy("center").agg(F.flatten(F.collect_list("met")).alias("met"), F.max("whole").alias("whole")).where("whole")
+    return paths.select("center", F.array_sort("met")["p"].alias("points"))
 
 
 def _diagonal(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talusgrid.grid import Grid
-from talusgrid.runtime import partitions
+from talusgrid.runtime import checkpointed, partitions
 
 
 def sorted_cells(grid: Grid, descending: bool = True, mask: Grid | None = None) -> DataFrame:
@@ -21,20 +21,13 @@ def sorted_cells(grid: Grid, descending: bool = True, mask: Grid | None = None)
     if mask is not None:
         cells = cells.join(mask.cells.where("value = 1").select("row", "col"), ["row", "col"], "left_semi")
     keys = [F.col("value").desc_nulls_last() if descending else F.col("value").asc_nulls_last(), F.col("cell_id")]
-    dealt = cells.repartitionByRange(partitions(grid.spark), *keys).withColumn("part", F.spark_partition_id()).persist()
+    dealt = checkpointed(cells.repartitionByRange(partitions(grid.spark), *keys).withColumn("part", F.spark_partition_id()))
     own = dealt.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
     sizes = dealt.groupBy("part").count()
     before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return own.join(F.broadcast(before), "part").select("row", "col", "value", (F.col("before") + F.col("n") - 1).alias("rank"))
 
 
-def ranked(grid: Grid, descending: bool = True) -> DataFrame:
-    """As ``sorted_cells`` by one window: for grids that one task can sort."""
-    key = F.col("value").desc_nulls_last() if descending else F.col("value").asc_nulls_last()
-    order = Window.orderBy(key, grid.geo.cell_id())
-    return grid.cells.select("row", "col", "value", (F.row_number().over(order) - 1).cast("long").alias("rank"))
-
-
 def _around(grid: Grid, points: DataFrame, radius: int) -> DataFrame:
     """Cells with data at offsets -r .. r - 1 and no farther than r, by point; offsets off the grid are dropped."""
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius) for j in range(-radius, radius) if math.hypot(i, j) <= radius])
