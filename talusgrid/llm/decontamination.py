@@ -11,11 +11,13 @@ window that the whole item could cover.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from talusgrid.llm import runtime as R
 
 _WORD = re.compile(r"[^\W_]+")
-#: Characters of test items in one automaton (about 100 bytes of memory for each); more items take more passes.
+#: Characters of test items in one automaton (about 100 bytes of memory for each); more items are more blocks.
 PASS_CHARS = 400_000
+#: Characters of documents that are held while several blocks of items go over them.
+HELD_CHARS = 16 << 20
 
 
 def normal(text: str | None) -> str:
@@ -150,74 +154,116 @@ class Matcher:
                     continue
                 if n not in best or hit < best[n]:
                     best[n] = hit
-        return sorted((self.items[n][0], *hit) for n, hit in best.items())
+        return [(self.items[n][0], *hit) for n, hit in sorted(best.items())]
 
     @staticmethod
     def _at_words(text: str, start: int, end: int) -> bool:
         return (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
 
 
-def _passes(benchmark: DataFrame, id_column: str) -> Iterator[list[tuple[int, str]]]:
-    """The test items in lists of bounded size, one after another."""
-    held, chars = [], 0
-    for row in benchmark.select(F.col(id_column).cast("long").alias("item"), "text").where("item is not null and text is not null").toLocalIterator():
+def _blocks(benchmark: DataFrame) -> list[str]:
+    """Paths of the test items, in files of the shared folder with about PASS_CHARS characters each.
+
+    The items stream through the driver, which holds one block of them at a time.
+    """
+    spark = benchmark.sparkSession
+    paths: list[str] = []
+    held: list[tuple[int | None, str]] = []
+    chars = 0
+
+    def put() -> None:
+        paths.append(R.new_path(spark, "items"))
+        R.put_file(paths[-1], json.dumps(held).encode())
+
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item"), "text").where("text is not null").toLocalIterator():
         text = normal(row.text)
         if chars + len(text) > PASS_CHARS and held:
-            yield held
+            put()
             held, chars = [], 0
-        held.append((row.item, text))
-        chars += len(text)
+        if text:
+            held.append((row.item, text))
+            chars += len(text)
     if held:
-        yield held
+        put()
+    return paths
 
 
-_CACHE: dict[int, tuple[object, Matcher]] = {}
+#: The matcher that a worker made last, by its block's path and the rate.
+_CACHE: dict[tuple[str, float], Matcher] = {}
 
 
-def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
-    key = hash((rate, tuple(items)))
-    if key not in _CACHE:
+def _matcher(path: str, rate: float) -> Matcher:
+    if (path, rate) not in _CACHE:
         _CACHE.clear()
-        _CACHE[key] = (items, Matcher(items, rate))
-    return _CACHE[key][1]
+        items = json.loads(R.map_file(path, np.uint8).tobytes().decode())
+        _CACHE[path, rate] = Matcher([(i, text) for i, text in items], rate)
+    return _CACHE[path, rate]
+
+
+def _matched(batches: Iterator[pa.RecordBatch], at: int, paths: list[str], rate: float, first_only: bool) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int, int, int]]]]]:
+    """Each batch with the finds in each row's text; with ``first_only`` a text isn't searched on after a find.
+
+    With several blocks of items, batches are held until they have HELD_CHARS characters, and
+    every block is loaded once for all of them: the documents are read once, whatever the number of items.
+    """
+    held: list[tuple[pa.RecordBatch, list[str], list[list[tuple[int, int, int, int]]]]] = []
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int, int, int]]]]]:
+        for path in paths:
+            matcher = _matcher(path, rate)
+            for _, texts, found in held:
+                for text, hits in zip(texts, found, strict=True):
+                    if not (first_only and hits):
+                        hits += matcher.find(text)
+        for batch, _, found in held:
+            yield batch, found
+        held.clear()
+
+    chars = 0
+    for batch in batches:
+        texts = [normal(x) for x in batch.column(at).to_pylist()]
+        held.append((batch, texts, [[] for _ in texts]))
+        chars += sum(map(len, texts))
+        if len(paths) < 2 or chars >= HELD_CHARS:
+            yield from flush()
+            chars = 0
+    yield from flush()
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
     """(doc_id, item_id, distance, start, end) for each test item found in each document's whole text.
 
     The distance is in edited characters of the normalised forms, at most floor(rate * length
-    of the item); start and end are positions in the document's normalised text. A match of
-    no edits that has one piece only must begin and end at word edges. Null ids and texts, and
-    items and documents without letters or digits, match nothing; repeated rows are found
-    again each. Other columns are ignored. Items go out in bounded blocks, with a pass each.
+    of the item); start and end are positions in the document's normalised text: of equal
+    distances the match that starts first. A match of no edits that has one piece only must
+    begin and end at word edges. Null texts, and items and documents without letters or
+    digits, match nothing; null ids are reported as null, repeated rows each for itself.
+    Other columns are ignored. The documents are read once; blocks of items go over them by turns.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, distance int, start int, end int"
-    out = None
-    for items in _passes(benchmark, "item_id"):
+    docs = R.columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    paths = _blocks(R.columns(benchmark, "item_id", "text"))
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items, rate)
-            for batch in batches:
-                rows = [(i, *hit) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in matcher.find(normal(text))]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "distance", "start", "end"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _matched(batches, 1, paths, rate, False):
+            rows = [(i, *hit) for i, hits in zip(batch.column(0).to_pylist(), found, strict=True) for hit in hits]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        part = R.arrow_map(docs, run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return R.arrow_map(docs, run, "doc_id long, item_id long, distance int, start int, end int")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """The documents, all columns, in whose text no test item is found."""
+    """The documents, all columns, in whose text no test item is found.
+
+    Documents without a text, or without letters or digits, stay, and so do all if there are
+    no items. Rows are judged each by its own text, whatever their ids: repeated ones stay or
+    go together. The documents are read once, as in find_leaks.
+    """
     at = documents.columns.index("text")
-    out = documents
-    for items in _passes(benchmark, "item_id"):
+    paths = _blocks(R.columns(benchmark, "item_id", "text"))
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items, rate)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(normal(x)) for x in batch.column(at).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _matched(batches, at, paths, rate, True):
+            yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        out = R.arrow_map(out, run, documents.schema)
-    return out
+    return R.arrow_map(documents, run, documents.schema)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,7 +63,54 @@ def test_leaks_and_clean_texts(spark):
     assert D.find_leaks(df.limit(0), bench).count() == 0 and D.find_leaks(df, bench.limit(0)).count() == 0
 
 
-def test_items_in_several_passes(spark, monkeypatch):
+def brute_force(items, docs, rate):
+    """(doc, item, least distance) of what the contract of a match asks for, without pieces."""
+    out = []
+    for d, text in docs:
+        t = D.normal(text)
+        for i, item in items:
+            p = D.normal(item)
+            k = int(rate * len(p))
+            if not p or not t:
+                continue
+            if k == 0:
+                if f" {p} " in f" {t} ":
+                    out.append((d, i, 0))
+            elif (least := least_distance(p, t)) <= k:
+                out.append((d, i, least))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "held"), [(400_000, 1 << 24), (150, 700), (1, 1)])
+def test_finds_equal_brute_force(spark, monkeypatch, block, held):
+    monkeypatch.setattr(D, "PASS_CHARS", block)
+    monkeypatch.setattr(D, "HELD_CHARS", held)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 5)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 8, 15])))) for i in range(12)]
+    docs = []
+    for d in range(40):
+        text = [word() for _ in range(rng.randint(0, 25))]
+        for _, item in rng.sample(items, rng.randint(0, 2)):
+            part = list(item)
+            for _ in range(rng.randint(0, len(part) // 7)):
+                part[rng.randrange(len(part))] = rng.choice("abcd ")
+            text.insert(rng.randint(0, len(text)), "".join(part))
+        docs.append((d, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.find_leaks(df, bench, 0.1).collect()
+    want = brute_force(items, docs, 0.1)
+    assert sorted((r.doc_id, r.item_id) for r in got) == [w[:2] for w in want] and len(want) > 30
+    # any match within the budget may be the one reported, the least one is never beaten
+    least = {w[:2]: w[2] for w in want}
+    budget = {i: int(0.1 * len(D.normal(t))) for i, t in items}
+    assert all(least[r.doc_id, r.item_id] <= r.distance <= budget[r.item_id] for r in got)
+    leaked = {w[0] for w in want}
+    assert sorted(r.doc_id for r in D.without_leaks(df, bench, 0.1).collect()) == [d for d, _ in docs if d not in leaked]
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "PASS_CHARS", 60)
     items = [(i, " ".join(f"word{i}{j}" for j in range(6))) for i in range(5)]
     docs = spark.createDataFrame([(i, "start " + t + " end") for i, t in items], "doc_id long, text string")
