@@ -266,4 +266,4 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.1)
         for batch, found in _matched(batches, at, paths, rate, True):
             yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-    return R.arrow_map(documents, run, documents.schema)
+    return R.same_columns(documents, run)

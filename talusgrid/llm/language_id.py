@@ -259,4 +259,4 @@ def with_language(documents: DataFrame, model: Model | None, least: float) -> Da
             langs, scores = _predicted(batch.column(at), model)
             yield batch.filter(pa.array([a != "und" and b >= least for a, b in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return R.arrow_map(documents, run, documents.schema)
+    return R.same_columns(documents, run)

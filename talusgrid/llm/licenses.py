@@ -185,4 +185,5 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataF
             types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "end", "license", "reduction", "n_changes", "changes"])
 
+    documents = R.columns(documents, "doc_id", "text")
     return R.arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, start int, end int, license string, reduction double, n_changes int, changes string")

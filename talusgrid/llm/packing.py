@@ -108,6 +108,7 @@ def pack(documents: DataFrame, capacity: int = 2048) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    documents = R.columns(documents, "doc_id", "source", "text")
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     rows = R.stored(rows, "rows")
     groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), SIMILARITY, WIDTH).select(F.col("doc_id").alias("row"), F.col("component_id").alias("cluster"))

@@ -146,6 +146,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
     Queries pass over all vectors in blocks of about QUERY_BLOCK.
     """
     spark = vectors.sparkSession
+    vectors = R.columns(vectors, id_column, vector_column)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & F.col("vector").isNotNull())
     rows = rows.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     # doubles from 2^53 on are whole

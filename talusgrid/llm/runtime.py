@@ -194,6 +194,15 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def same_columns(documents: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``arrow_map`` by a function that keeps the columns in their places, also where names differ in case only."""
+    names = documents.columns
+    if len({n.casefold() for n in names}) == len(names):
+        return arrow_map(documents, f, documents.schema)
+    apart = documents.toDF(*[f"{i}_{n}" for i, n in enumerate(names)])
+    return arrow_map(apart, f, apart.schema).toDF(*names)
+
+
 def is_mappable(path: str) -> bool:
     return path.startswith(("file:", "/"))
 

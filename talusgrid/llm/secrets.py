@@ -294,4 +294,4 @@ def redact(documents: DataFrame, text: str = "text", length: str | None = "n_cha
                 columns[size] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, columns[size].to_pylist(), strict=True)], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return R.arrow_map(documents, run, documents.schema)
+    return R.same_columns(documents, run)
