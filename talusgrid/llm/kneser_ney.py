@@ -550,7 +550,7 @@ def train(texts: DataFrame, shards: int | None = None, order: int = ORDER) -> Mo
     if order < 2:
         raise ValueError("an order of 2 at least")
     spark = texts.sparkSession
-    texts = texts.select("text")
+    texts = R.columns(texts, "text").select("text")
     shards = shards or _shards_for(texts)
     path = R.new_path(spark, "ngrams")
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(b"").alias("data"))
@@ -610,6 +610,6 @@ def score(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     columns, are kept as they are; an empty table gives no rows; an unknown word has the
     probability that is left for any word.
     """
-    rows = texts.select(*keep, "text")
+    rows = R.columns(texts, *keep, "text").select(*keep, "text")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
     return R.arrow_map(rows, _score(model), f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
