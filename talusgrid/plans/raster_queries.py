@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from talusgrid.grid import Georef, Grid
 from talusgrid.operators import accumulate, fill, flow, morphology, profile, search, spectral, stencil, tiling, windows
 from talusgrid.operators.regions import regions
+from talusgrid.plans import profile_sql
 from talusgrid.plans.raster_sql import ORACLE
 from talusgrid.runtime import checkpointed
 from talusgrid.sources import outlets as outlet_tables
@@ -527,7 +528,8 @@ def theta_fit(spark, d):
 @query
 def mainstem_profile(spark, d):
     z, fd, a = with_area(spark, d)
-    return profile.profile_chi(profile.mainstem_and_tributaries(z, fd, a, outlets(z), 900.0), THETA)
+    rows = profile.profile_chi(profile.mainstem_and_tributaries(z, fd, a, outlets(z), 900.0), THETA)
+    return rows.select("point", "profile", "mainstem", "seq", "cell", whole("area").alias("area"), whole("elevation").alias("elevation"), micro("de").alias("de"), micro("chi").alias("chi"))
 
 
 @query
@@ -647,7 +649,8 @@ def valley_width(spark, d):
 
 @query
 def deflection(spark, d):
-    return micros(spectral.deflection(surface(spark, d), 1e12, 3300.0, 2700.0, 9.81))
+    # thousandths: the deflections are thousands of metres
+    return out(spectral.deflection(surface(spark, d), 1e12, 3300.0, 2700.0, 9.81), v=F.round(F.col("value") * 1e3).cast("long"))
 
 
 @query
@@ -671,4 +674,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLE.items() if k in QUERIES}
+    return {k: v for k, v in (ORACLE | profile_sql.ORACLE).items() if k in QUERIES}

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 DATA = Path("/root/testdata/sf0.001")
-SOME = ["grid_scan", "hist2d", "max_slope", "contour_curvature", "flow_direction_d8", "drainage_area", "flow_length", "mosaic_last_wins", "nearest_at_least", "outlet_upsert"]
+SOME = ["grid_scan", "hist2d", "max_slope", "contour_curvature", "flow_direction_d8", "drainage_area", "flow_length", "mosaic_last_wins", "nearest_at_least", "outlet_upsert", "downhill_walk", "ks_smoothed", "equal_regions", "valley_area", "deflection"]
 
 
 def test_every_statement_has_a_query():
