@@ -223,12 +223,16 @@ def ks_theta_fit(elevation: Grid, directions: Grid, area: Grid, outlets: DataFra
         at = {c: i for i, c in enumerate(t["cell"])}
         up = t["parent"].map(at).fillna(-1).astype(int).to_numpy()
         a, de, e = t["area"].to_numpy(), t["de"].to_numpy(), (t["elevation"] - t["elevation"].iloc[0]).to_numpy()
+        # rows come by depth, so that whole levels of the tree are added to those below them at once
+        ends = [*(np.flatnonzero(np.diff(t["depth"].to_numpy())) + 1), len(t)]
+        levels = list(zip(ends[:-1], ends[1:], strict=True))
 
         def chi(theta: float) -> np.ndarray:
             w = a**-theta
+            step = 0.5 * (w + w[up]) * de
             out = np.zeros(len(a))
-            for i in range(1, len(a)):
-                out[i] = out[up[i]] + 0.5 * (w[i] + w[up[i]]) * de[i]
+            for lo, hi in levels:
+                out[lo:hi] = out[up[lo:hi]] + step[lo:hi]
             return out
 
         theta, ss, settled = numeric.nelder_mead(lambda x: numeric.through_origin(chi(x), e)[1] if abs(x) <= 10 else np.inf, 0.5)

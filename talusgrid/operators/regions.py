@@ -11,30 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talusgrid.components import components
 from talusgrid.grid import Grid
 from talusgrid.operators.neighbours import EIGHT, TILE, shifted
 from talusgrid.runtime import checkpointed
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, component): the smallest node linked to each node of (a, b), by large and small stars in turn."""
-    now = checkpointed(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small, "a")
-        now = checkpointed(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).distinct())
-        mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-        if mark == before:
-            break
-        before = mark
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
 def _label(nx: int, diagonal: bool):
     """Label a tile's cells with the smallest cell id of their region in the tile."""
     steps = [(i, j) for _, i, j in EIGHT if diagonal or not (i and j)]
@@ -71,5 +53,5 @@ def regions(grid: Grid, diagonal: bool = False) -> DataFrame:
     ways = [o for o in EIGHT if diagonal or not (o[1] and o[2])]
     pair = shifted(Grid(local.select("row", "col", F.struct("value", "label").alias("value")), geo), ways)
     touching = pair.select("value", F.explode(F.array(*[F.col(n) for n, _, _ in ways])).alias("o")).where("o is not null and o.value = value.value and o.label <> value.label")
-    names = components(touching.select(F.col("value.label").alias("a"), F.col("o.label").alias("b")))
+    names = components(touching.select(F.col("value.label").alias("a"), F.col("o.label").alias("b")), checkpointed)
     return local.join(names, local["label"] == names["node"], "left").select("row", "col", "value", F.coalesce("component", "label").alias("region"))
