@@ -13,14 +13,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talusgrid.components import components
+
 #: Bytes of text that the NumPy kernels take at once (they use about 40 bytes for each).
 SLICE_BYTES = 1 << 20
 #: Rows that go to and from a Python worker at once: whole texts are long, and a worker holds a few batches.
 BATCH_ROWS = 1000
 #: Most rows of ids (16 bytes each at most) that are broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
-#: A node with more neighbours than both this many and this share of all edges is broadcast as the centre of a star.
-STAR_ROWS, STAR_SHARE = 200, 1e-4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -144,40 +144,9 @@ def edge_batches(forest: Forest) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], pa.int64()), pa.array(b[i : i + 50_000], pa.int64())], schema=EDGES)
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (a, b); the component is its smallest node.
-
-    Alternating large-star and small-star rounds: the number of rounds is logarithmic in the
-    longest chain. Each round is written to the shared folder, so a lost executor costs one
-    round at most. Loops are ignored; an empty input gives no rows.
-    """
-    spark = edges.sparkSession
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-
-    def print_of(df: DataFrame):
-        return df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-
-    before = print_of(now)
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-        # centres of large stars go out to their rows: at most 2 / STAR_SHARE nodes, whatever the input
-        many = max(STAR_ROWS, int(before[0] * STAR_SHARE))
-        tagged = both.join(F.broadcast(least.where(F.col("n") > many).select("a", F.col("m").alias("centre"))), "a", "left")
-        others = tagged.where("centre is null").join(least.where(F.col("n") <= many).select("a", "m"), "a")
-        starred = tagged.where("centre is not null").select("a", "b", F.col("centre").alias("m")).unionByName(others.select("a", "b", "m"))
-        large = starred.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e"))
-        now = stored(pairs.select("e.a", "e.b").where("a <> b").distinct(), "stars")
-        after = print_of(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of ``edges`` (a, b), each round written to the shared folder."""
+    return components(edges, lambda df: stored(df, "stars"))
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
