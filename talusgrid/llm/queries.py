@@ -13,7 +13,7 @@ LEAK_RATE = 0.1
 TOXIC = 0.7
 #: Words in a packed bin.
 CAPACITY = 2048
-URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
 #: The operators' modules.
