@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from support import array, heap_fill, ordered_area, ordered_length, receivers
 
 from talusgrid.components import components
 from talusgrid.grid import Grid, cells_of
-from talusgrid.operators import accumulate, fill, flow, profile
+from talusgrid.operators import accumulate, doubling, fill, flow, profile
 from talusgrid.operators.regions import regions
 from talusgrid.runtime import checkpointed
 
@@ -207,3 +208,69 @@ def test_restored_elevation_follows_the_steepness(spark):
     z, _, changes = profile.restored_elevation(*(Grid.of_array(spark, x) for x in (codes, z0, area)), 0.5, 10.0, cells_of(spark, [(1, 1)]), 1)
     want = np.concatenate(([0.0], np.cumsum(10.0 * area[1, 1:-1] ** -0.5)))
     assert np.allclose(array(z)[1, 1:], want) and changes[0] > 0
+
+
+def forest(n, seed, circle=False):
+    """Links mostly to near ids, some far and some to ids that aren't there; of every seventh id there is none."""
+    rng = np.random.default_rng(seed)
+    ids = [i for i in range(n) if i % 7 != 3]
+    link = {i: None if rng.random() < 0.05 else int(i + rng.integers(1, 6)) if rng.random() < 0.9 else int(rng.integers(i + 1, n + 5)) for i in ids}
+    if circle:
+        link |= {0: 9, 9: 18, 18: 0, 1: 2, 2: 1}
+    return ids, link
+
+
+@pytest.mark.parametrize(("one_task", "sent"), [(1 << 20, 1 << 17), (0, 0)])
+def test_sums_by_blocks_equal_plain_walks(spark, monkeypatch, one_task, sent):
+    for name, value in (("BLOCK", 16), ("ONE_TASK", one_task), ("SENT", sent)):
+        monkeypatch.setattr(doubling, name, value)
+    ids, link = forest(200, 4)
+    step = {i: float(i % 5 + 1) for i in ids}
+    ways = {}
+    for i in ids:
+        ways[i] = [i]
+        while link[ways[i][-1]] in step:
+            ways[i].append(link[ways[i][-1]])
+    nodes = spark.createDataFrame([(i, link[i], step[i], i) for i in ids], "id long, j long, step double, k long")
+    got = {r.id: (r.root, r.n, r.step, r.k) for r in doubling.path_sum(nodes, ["step", "k"]).collect()}
+    assert got == {i: (w[-1], len(w), sum(step[x] for x in w), sum(w)) for i, w in ways.items()}
+    got = {r.id: (r.step, r.k) for r in doubling.subtree_sum(nodes, ["step", "k"]).collect()}
+    assert got == {i: (sum(step[x] for x in ids if i in ways[x]), sum(x for x in ids if i in ways[x])) for i in ids}
+    got = {r.id: r.m for r in doubling.subtree_max(nodes.select("id", "j", "step")).collect()}
+    assert got == {i: max(sum(step[x] for x in ways[y][: ways[y].index(i)]) for y in ids if i in ways[y]) for i in ids}
+    keyed = nodes.select(F.explode(F.array(F.lit(5).cast("long"), F.lit(6).cast("long"))).alias("p"), "*").select(F.struct("p", "id").alias("id"), F.when(F.col("j").isNotNull(), F.struct("p", F.col("j").alias("id"))).alias("j"), "k")
+    got = {(r.id.p, r.id.id): (r.root.p, r.root.id, r.n, r.k) for r in doubling.path_sum(keyed, ["k"]).collect()}
+    assert got == {(p, i): (p, w[-1], len(w), sum(w)) for p in (5, 6) for i, w in ways.items()}
+
+
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_targets_by_blocks_with_circles(spark, monkeypatch, one_task):
+    monkeypatch.setattr(doubling, "BLOCK", 8)
+    monkeypatch.setattr(doubling, "ONE_TASK", one_task)
+    ids, link = forest(120, 5, circle=True)
+    targets = {i for i in ids if i % 11 == 7}
+
+    def first(i):
+        seen = set()
+        while i in link and i not in seen:
+            if i in targets:
+                return i
+            seen.add(i)
+            i = link[i]
+        return None
+
+    nodes = spark.createDataFrame([(i, link[i]) for i in ids], "id long, j long")
+    got = {r.id: r.target for r in doubling.reaches(nodes, spark.createDataFrame([(t,) for t in targets], "id long")).collect()}
+    assert got == {i: first(i) for i in ids if first(i) is not None}
+
+
+def test_rounds_do_not_grow_with_the_path(spark, monkeypatch):
+    """A path over all blocks is solved by blocks and once across: as many checkpoints whatever its length."""
+    kept = []
+    monkeypatch.setattr(doubling, "checkpointed", lambda df: kept.append(1) or df.localCheckpoint())
+    for size in (8, 64):
+        monkeypatch.setattr(doubling, "BLOCK", size)
+        nodes = spark.range(4096).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("j"), F.lit(1).cast("long").alias("a"))
+        assert doubling.path_sum(nodes, []).where("root = 0 and n = id + 1").count() == 4096
+        assert doubling.subtree_sum(nodes, ["a"]).where("a = 4096 - id").count() == 4096
+    assert len(kept) == 12
