@@ -160,9 +160,7 @@ def chi(area_grid: Grid, directions: Grid, theta: float, Ao: float, outlets: Dat
         nodes = nodes.join(_cells(mask, "m"), "id", "left").where(~((F.coalesce(F.col("m"), F.lit(0)) == 0) & (F.col("a") > 1e4)) | F.col("end"))
     l = F.when(F.col("end"), geo.dimension()).otherwise(F.coalesce("step", F.lit(0.0)))
     nodes = nodes.select("id", F.when(F.col("end").isNull(), F.col("j")).alias("j"), l.alias("l"), (F.pow(F.try_divide(F.lit(float(Ao)), F.col("a")), F.lit(theta)) * l).alias("chi"))
-    kept = checkpointed(nodes)
-    met = checkpointed(doubling.reaches(kept.select("id", "j"), ids))
-    sums = doubling.path_sum(kept.join(met, "id", "left_semi").select("id", "j", "l", "chi"), ["l", "chi"])
+    sums = doubling.path_to(nodes, ["l", "chi"], ids)
     if maximum_length is not None:
         sums = sums.where(F.col("l") < maximum_length)
     rows = a.select("id").join(sums.select("id", "chi"), "id", "left").withColumn("value", F.coalesce("chi", F.lit(0.0)))

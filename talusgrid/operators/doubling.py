@@ -292,12 +292,17 @@ def path_sum(nodes: DataFrame, columns: list[str]) -> DataFrame:
     return near.select(back(F.col("p"), F.col("id")).alias("id"), back(F.col("p"), F.col("root")).alias("root"), "n", *columns)
 
 
-def reaches(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, target): the first of the targets (id) on the path from each node that meets one, itself included.
+def path_to(nodes: DataFrame, columns: list[str], targets: DataFrame) -> DataFrame:
+    """(id, target, n, columns): as ``path_sum`` down to the first of the targets (id), for nodes whose path meets one, itself included.
 
     Links may form cycles; a node that is led into one without meeting a target has none.
     """
     ends = targets.select(F.col("id").alias("end")).distinct()
-    state = nodes.join(ends, nodes["id"] == ends["end"], "left").select("id", F.when(F.col("end").isNull(), F.col("j")).alias("j"), F.when(F.col("end").isNull(), 0).otherwise(1).cast("long").alias("met"))
+    state = nodes.join(ends, nodes["id"] == ends["end"], "left").select("id", F.when(F.col("end").isNull(), F.col("j")).alias("j"), F.when(F.col("end").isNull(), 0).otherwise(1).cast("long").alias("met"), *columns)
     # a target ends its path, so that at most one is met
-    return path_sum(state, ["met"]).where("met = 1").select("id", F.col("root").alias("target"))
+    return path_sum(state, ["met", *columns]).where("met = 1").select("id", F.col("root").alias("target"), "n", *columns)
+
+
+def reaches(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, target): the first of the targets (id) on the path from each node that meets one, as ``path_to``."""
+    return path_to(nodes, [], targets).select("id", "target")

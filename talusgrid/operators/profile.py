@@ -361,9 +361,7 @@ def restored_elevation(directions: Grid, elevation: Grid, area: Grid, theta: flo
         rise = links.join(below, "j").select("id", "j", (F.col("step") * F.lit(float(ks)) * F.pow("a", F.lit(-theta))).alias("dz"))
         cells = z.cells.select(geo.cell_id().alias("id"), F.col("value").alias("z"))
         nodes = cells.join(rise, "id", "left").join(ids.withColumn("end", F.lit(True)), "id", "left").select("id", F.when(F.col("end").isNull(), F.col("j")).alias("j"), F.when(F.col("end"), F.col("z")).otherwise(F.coalesce("dz", F.lit(0.0))).alias("dz"))
-        nodes = checkpointed(nodes)
-        met = checkpointed(doubling.reaches(nodes.select("id", "j"), ids))
-        raised = doubling.path_sum(nodes.join(met, "id", "left_semi"), ["dz"]).select("id", "dz")
+        raised = doubling.path_to(nodes, ["dz"], ids).select("id", "dz")
         new = checkpointed(cells.join(raised, "id", "left").select(geo.row_at(F.col("id")).alias("row"), geo.col_at(F.col("id")).alias("col"), F.coalesce("dz", "z").alias("value"), F.col("z").alias("old")))
         changes.append(float(new.agg(F.avg(F.pow(F.col("value") - F.col("old"), F.lit(2)))).first()[0] or 0.0))
         z = Grid(new.select("row", "col", "value"), geo)

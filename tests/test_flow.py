@@ -274,3 +274,12 @@ def test_rounds_do_not_grow_with_the_path(spark, monkeypatch):
         assert doubling.path_sum(nodes, []).where("root = 0 and n = id + 1").count() == 4096
         assert doubling.subtree_sum(nodes, ["a"]).where("a = 4096 - id").count() == 4096
     assert len(kept) == 12
+
+
+def test_sums_down_to_a_target_are_one_labelling(spark, monkeypatch):
+    """Labels and sums come of one pass, circles and missing ends beside."""
+    kept = []
+    monkeypatch.setattr(doubling, "checkpointed", lambda df: kept.append(1) or df.localCheckpoint())
+    nodes = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0), (2, 3, 5.0), (3, 4, 7.0), (5, 6, 1.0), (6, 5, 1.0), (7, 99, 1.0)], "id long, j long, d double")
+    got = {tuple(r) for r in doubling.path_to(nodes, ["d"], spark.createDataFrame([(2,)], "id long")).collect()}
+    assert got == {(0, 2, 3, 10.0), (1, 2, 2, 8.0), (2, 2, 1, 5.0)} and len(kept) == 2
