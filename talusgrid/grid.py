@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +75,23 @@ class Georef:
         """Area of a pixel: dx squared, or that of its spherical quadrangle."""
         if not self.geographic:
             return F.lit(float(self.dx) ** 2)
-        lat, half = self.y(row), self.dx / 2
-        return F.lit(EARTH_RADIUS**2) * F.abs(F.radians(F.lit(float(self.dx)))) * F.abs(F.sin(F.radians(lat + half)) - F.sin(F.radians(lat - half)))
+        # edges as decimal numbers, where dx and yll are such: doubles summed up would be off by a last place, which the difference of sines shows
+        half = Decimal(repr(float(self.dx))) / 2
+        low, step = Decimal(repr(float(self.yll))) - half, half * 2
+        row = F.col(row) if isinstance(row, str) else row
+        up = F.lit(self.ny - 1) - row
+
+        def edge(k: int) -> Column:
+            # a whole number of units of the last place over a power of ten is rounded once
+            digits = max(-low.as_tuple().exponent, -step.as_tuple().exponent, 0)
+            units = (up + k) * F.lit(int(step.scaleb(digits))) + F.lit(int(low.scaleb(digits)))
+            return units.cast("double") / F.lit(10.0**digits)
+
+        if max(-low.as_tuple().exponent, -step.as_tuple().exponent) > 12:
+            south, north = self.y(row) - self.dx / 2, self.y(row) + self.dx / 2
+        else:
+            south, north = edge(0), edge(1)
+        return F.lit(EARTH_RADIUS**2) * F.abs(F.radians(F.lit(float(self.dx)))) * F.abs(F.sin(F.radians(north)) - F.sin(F.radians(south)))
 
     def dimension(self, row: Column | str = "row") -> Column:
         """Side of a pixel: dx, or the root of its area."""

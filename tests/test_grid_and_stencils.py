@@ -233,3 +233,13 @@ def test_order_and_search(spark, grid):
         assert (near.row, near.col) == min(around, key=lambda c: (abs(Z[c] - 50), c))
         over = search.nearest_at_least(grid, pts, 50.0, 2).where(f"point = {p}").first()
         assert (over.row, over.col) == min(around, key=lambda c: (Z[c] < 50, abs(Z[c] - 50), c))
+
+
+def test_geographic_area_takes_edges_as_decimals(spark):
+    """Beside exact edges (odd multiples of 0.005 degrees) the difference of sines has no more than its own rounding."""
+    geo = Georef(1, 2000, 0.01, geographic=True)
+    got = np.array([r.a for r in spark.range(2000).select("id", geo.area("id").alias("a")).orderBy("id").collect()])
+    k = 2000 - 1 - np.arange(2000)
+    rad = np.pi / 180
+    want = 6371000.0**2 * (0.01 * rad) * np.abs(np.sin((2 * k + 1) / 200 * rad) - np.sin((2 * k - 1) / 200 * rad))
+    assert (got == want).mean() > 0.9 and np.abs(got - want).max() < 1.6e-6
