@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,27 +105,44 @@ def ascii_lines(grid: Grid) -> DataFrame:
     return rows.select("row", F.array_join(F.transform("v", lambda x: x["t"]), " ").alias("line"))
 
 
+def _deflated(rows: DataFrame, text: Callable[[pa.RecordBatch], str]) -> Iterator[str]:
+    """The text of all batches of rows, by ``row``: made and deflated in Spark, sent a partition at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(text(batch).encode(), 6)], pa.binary())], names=["data"])
+
+    for r in rows.orderBy("row").mapInArrow(pack, "data binary").toLocalIterator():
+        yield zlib.decompress(r.data).decode()
+
+
 def write_ascii(grid: Grid, path: str) -> None:
-    """One local text file; lines are made in Spark and come to the driver a partition at a time."""
+    """One local text file; lines are made in Spark and come to the driver deflated, a partition at a time."""
     g = grid.geo
     with open(path, "w") as out:
         out.write(f"ncols {g.nx}\nnrows {g.ny}\nxllcenter {g.xll!r}\nyllcenter {g.yll!r}\ncellsize {g.dx!r}\nNODATA_value nan\n")
-        for r in ascii_lines(grid).orderBy("row").toLocalIterator():
-            out.write(r.line + "\n")
+        for text in _deflated(ascii_lines(grid), lambda batch: "".join(f"{line}\n" for line in batch.column("line").to_pylist())):
+            out.write(text)
 
 
 def write_e00(grid: Grid, path: str, name: str = "GRID") -> None:
     """An uncompressed E00 grid: double precision, five values to a line."""
     g = grid.geo
-    x0, y0 = g.xll - g.dx / 2, g.yll - g.dx / 2
+    x0, y0, nodata = g.xll - g.dx / 2, g.yll - g.dx / 2, -3.40282346638529e38
     number = lambda v: f"{v:21.14E}"
     with open(path, "w") as out:
-        out.write(f"EXP  0 {name}.E00\nGRD  3\n{g.nx:10d}{g.ny:10d} 2{number(-3.40282346638529e38)}\n{number(g.dx)}{number(g.dx)}\n{number(x0)}{number(y0)}\n{number(x0 + g.nx * g.dx)}{number(y0 + g.ny * g.dx)}\n")
-        rows = grid.dense().cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("v")).orderBy("row")
-        for r in rows.toLocalIterator():
-            values = [number(-3.40282346638529e38 if v.value is None else v.value) for v in r.v]
-            for i in range(0, len(values), 3):
-                out.write("".join(values[i : i + 3]) + "\n")
+        out.write(f"EXP  0 {name}.E00\nGRD  3\n{g.nx:10d}{g.ny:10d} 2{number(nodata)}\n{number(g.dx)}{number(g.dx)}\n{number(x0)}{number(y0)}\n{number(x0 + g.nx * g.dx)}{number(y0 + g.ny * g.dx)}\n")
+        rows = grid.dense().cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("v"))
+
+        def lines(batch: pa.RecordBatch) -> str:
+            made = []
+            for v in batch.column("v").to_pylist():
+                values = [number(nodata if v is None else v) for v in v]
+                made += ["".join(values[i : i + 3]) + "\n" for i in range(0, len(values), 3)]
+            return "".join(made)
+
+        for text in _deflated(rows.select("row", F.col("v.value").alias("v")), lines):
+            out.write(text)
         out.write("EOG\nEOS\n")
 
 

@@ -172,3 +172,16 @@ def test_pipeline_saves_every_stage(spark, tmp_path):
     assert set(got) == {"elevation", "filled", "flow_direction", "area", "flow_length", "ksi", "scaled_relief"}
     again = pipelines.process_for_theta(spark, str(tmp_path / "p"), 100.0, 0.4)
     assert np.allclose(array(again["ksi"]), array(got["ksi"]))
+
+
+def test_text_rasters_come_to_the_driver_deflated(spark, tmp_path, monkeypatch):
+    sent = []
+    inflate = rasters.zlib.decompress
+    monkeypatch.setattr(rasters.zlib, "decompress", lambda data: sent.append(len(data)) or inflate(data))
+    z = Grid.of_array(spark, [[None if (i, j) == (2, 3) else float(i * j % 7) for j in range(40)] for i in range(30)])
+    for write, read in ((rasters.write_e00, rasters.read_e00), (rasters.write_ascii, rasters.read_ascii)):
+        sent.clear()
+        path = str(tmp_path / write.__name__)
+        write(z, path)
+        assert 0 < sum(sent) < 0.5 * (tmp_path / write.__name__).stat().st_size
+        assert {tuple(r) for r in read(spark, path).cells.collect()} == {tuple(r) for r in z.cells.collect()}
