@@ -1,8 +1,7 @@
 """Neighbourhoods without self-joins.
 
-A grid is dealt out in square tiles with a halo: one shuffle. Hash partitioning by tile also
-clusters the windows over the lines of a tile in any direction, so that shifts need sorts but no
-further exchange, and no task holds more than a tile. Gaps in the grid are seen as such.
+A grid is dealt out in square tiles with a halo: one shuffle. In a tile all shifts are found
+from one table of places, and no task holds more than a tile. Gaps in the grid are seen as such.
 """
 
 from __future__ import annotations
@@ -11,8 +10,10 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talusgrid.grid import Grid
 from talusgrid.runtime import partitions
@@ -35,28 +36,34 @@ def tiled(cells: DataFrame, halo_rows: int, halo_cols: int, tile: int = TILE) ->
     return out.withColumn("own", own).repartition(partitions(cells.sparkSession), "tr", "tc")
 
 
-def _shift(value: Column, dr: int, dc: int) -> Column:
-    """The value (dr, dc) away, NULL where there is no cell: along the line in that direction through a tile."""
-    if not (dr or dc):
-        return value
-    along, by = ("row", dr) if dr else ("col", dc)
-    # opposite directions name one line, and so share a sort
-    sign = 1 if (dr, dc) > (0, 0) else -1
-    line = F.col("row") if not dr else F.col("col") if not dc else F.col("col") * (sign * dr) - F.col("row") * (sign * dc)
-    window = Window.partitionBy("tr", "tc", line).orderBy(along)
-    if max(abs(dr), abs(dc)) > 1:
-        return F.first(value).over(window.rangeBetween(by, by))
-    there = (F.lead if by > 0 else F.lag)(F.struct(F.col(along).alias("at"), value.alias("v")), 1).over(window)
-    return F.when(there["at"] == F.col(along) + by, there["v"])
-
-
 def shifted(grid: Grid, offsets: Sequence[tuple[str, int, int]], band: str = "value", keep: Iterable[str] = (), tile: int = TILE) -> DataFrame:
-    """row, col, the band and the columns ``keep``, and for each (name, drow, dcol) the band's value there."""
+    """row, col, the band and the columns ``keep``, and for each (name, drow, dcol) the band's value there, NULL where there is no cell.
+
+    A task has the cells of a tile as Arrow columns, finds the place of each cell's neighbours
+    and takes the values from there, whatever their type: nothing is sorted by line.
+    """
     keep = [c for c in keep if c != band]
     dr, dc = (max((abs(o[k]) for o in offsets), default=0) for k in (1, 2))
-    out = tiled(grid.cells.select("row", "col", band, *keep), dr, dc, tile)
-    out = out.withColumns({name: _shift(F.col(band), r, c) for name, r, c in offsets})
-    return out.where("own").select("row", "col", band, *keep, *[o[0] for o in offsets])
+    cells = grid.cells.select("row", "col", band, *keep)
+    kind = cells.schema[band].dataType
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in cells.schema] + [T.StructField(name, kind) for name, _, _ in offsets])
+    names = [band, *keep]
+
+    def run(cells: pa.Table) -> pa.Table:
+        r, c = (cells.column(n).to_numpy() for n in ("row", "col"))
+        top, left = r.min() - dr, c.min() - dc
+        place = np.full((r.max() - top + dr + 1, c.max() - left + dc + 1), -1)
+        place[r - top, c - left] = np.arange(len(r))
+        own = np.flatnonzero(cells.column("own").to_numpy())
+        r, c = r[own], c[own]
+        out = [pa.array(r), pa.array(c), *[cells.column(n).take(pa.array(own)) for n in names]]
+        values = cells.column(band).combine_chunks()
+        for _, i, j in offsets:
+            at = place[r - top + i, c - left + j]
+            out.append(values.take(pa.array(at, mask=at < 0)))
+        return pa.table(out, names=schema.names)
+
+    return tiled(cells, dr, dc, tile).groupBy("tr", "tc").applyInArrow(run, schema)
 
 
 def eight(grid: Grid, band: str = "value", keep: Iterable[str] = ()) -> DataFrame:

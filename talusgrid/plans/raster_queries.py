@@ -17,7 +17,7 @@ from talusgrid.operators import accumulate, fill, flow, morphology, profile, sea
 from talusgrid.operators.regions import regions
 from talusgrid.plans import profile_sql
 from talusgrid.plans.raster_sql import ORACLE
-from talusgrid.runtime import checkpointed
+from talusgrid.runtime import checkpointed, partitions
 from talusgrid.sources import outlets as outlet_tables
 from talusgrid.sources import rasters, synthetic, vector
 
@@ -36,7 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def surface(spark: SparkSession, sf_dir: str, **georef) -> Grid:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "e"))
+    # lines are dealt out before they become cells: one small file would make them all in one task
+    lines = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(partitions(spark), "vec_id")
+    rows = lines.select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "e"))
     size = table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("r"), F.max(F.size("embedding")).alias("c")).first()
     cells = rows.select("row", F.col("col").cast("long").alias("col"), (F.floor(F.col("e").cast("double") * 1000) + 1000).cast("double").alias("value"))
     return Grid(cells, Georef(size.c, size.r + 1, **({"dx": 30.0} | georef)))
@@ -399,37 +401,42 @@ def flow_length(spark, d):
 
 
 def with_length(spark, d):
-    z, fd, a = with_area(spark, d)
-    return z, fd, a, Grid(checkpointed(accumulate.flow_length(fd, z).cells), z.geo)
+    z, fd = drained(spark, d)
+    return z, fd, Grid(checkpointed(accumulate.flow_length(fd, z).cells), z.geo)
+
+
+def with_length_and_area(spark, d):
+    z, fd, length = with_length(spark, d)
+    return z, fd, Grid(checkpointed(accumulate.area(fd, z).cells), z.geo), length
 
 
 @query
 def relief(spark, d):
-    z, fd, _, length = with_length(spark, d)
+    z, fd, length = with_length(spark, d)
     return out(accumulate.relief(fd, z, length, z), v=whole("value"))
 
 
 @query
 def scaled_relief(spark, d):
-    z, fd, a, length = with_length(spark, d)
+    z, fd, a, length = with_length_and_area(spark, d)
     return micros(accumulate.scaled_relief(fd, z, length, z, 2000.0, THETA, a))
 
 
 @query
 def ksi(spark, d):
-    z, fd, a, length = with_length(spark, d)
+    z, fd, a, length = with_length_and_area(spark, d)
     return micros(accumulate.ksi(a, fd, THETA, 2000.0, length, z))
 
 
 @query
 def longest_path(spark, d):
-    z, _, _, length = with_length(spark, d)
+    z, _, length = with_length(spark, d)
     return accumulate.path_from_outlet(length, outlets(z)).select("point", "seq", "row", "col")
 
 
 @query
 def points_with_length(spark, d):
-    _, fd, _, length = with_length(spark, d)
+    _, fd, length = with_length(spark, d)
     return accumulate.points_with_length(length, fd, 100.0)
 
 
@@ -465,7 +472,7 @@ def valley_area(spark, d):
 
 @query
 def mainstem_valley_area(spark, d):
-    z, fd, a, length = with_length(spark, d)
+    z, fd, a, length = with_length_and_area(spark, d)
     return out(accumulate.mainstem_valley_area(fd, z, a, stencil.laplacian(z), 0.02, 5000.0, length), area=whole("value"))
 
 

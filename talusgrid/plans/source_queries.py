@@ -89,7 +89,7 @@ def width_bands_saved(spark, d):
 def flow_length_saved(spark, d):
     """Lengths with the cells that they come from, which are a band of their own."""
     path = local_folder(spark, "lengths") + "/grid"
-    rasters.save(with_length(spark, d)[3], path)
+    rasters.save(with_length(spark, d)[2], path)
     return out(rasters.load(spark, path), length=micro("value"), donor=F.col("donor"))
 
 
@@ -282,14 +282,14 @@ def quadrat_centres(spark, d):
 
 @query(f"WITH RECURSIVE {D8}{LENGTH} SELECT ed.r AS \"row\", ed.c AS col, r2 AS to_row, c2 AS to_col FROM ed JOIN fl ON fl.id = ed.dst AND fl.donor = ed.src")
 def along_flow_length(spark, d):
-    _, fd, _, length = with_length(spark, d)
+    _, fd, length = with_length(spark, d)
     return accumulate.is_along_flow_length(length, flow.edges(fd).select("row", "col", "to_row", "to_col"))
 
 
 @query(f"WITH RECURSIVE {D8}{LENGTH} SELECT g.r AS \"row\", g.c AS col, CAST(coalesce(CASE ed.code WHEN 1 THEN 16 WHEN 2 THEN 8 WHEN 4 THEN 4 WHEN 8 THEN 2 WHEN 16 THEN 1 WHEN 32 THEN 128 WHEN 64 THEN 64 WHEN 128 THEN 32 END, 0) AS BIGINT) AS code FROM g CROSS JOIN sz JOIN fl ON fl.id = g.r * nx + g.c LEFT JOIN ed ON ed.src = fl.donor AND ed.dst = fl.id")
 def longest_path_code(spark, d):
     """The step to the donor, counted from the east against the clock."""
-    return out(accumulate.longest_path_code(with_length(spark, d)[3]), code=whole("value"))
+    return out(accumulate.longest_path_code(with_length(spark, d)[2]), code=whole("value"))
 
 
 @query(
@@ -298,7 +298,7 @@ def longest_path_code(spark, d):
 )
 def longest_path_tree(spark, d):
     """The tree of recorded donors above each outlet, with elevations and flow lengths."""
-    z, fd, _, length = with_length(spark, d)
+    z, fd, length = with_length(spark, d)
     tree = flow.longest_path_tree(fd, outlets(z), length, {"elevation": z})
     return tree.select("point", "cell", "parent", "depth", whole("elevation").alias("elevation"), micro("distance").alias("distance"))
 

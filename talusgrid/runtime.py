@@ -31,9 +31,16 @@ def local_folder(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, kept in the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, kept in the shared checkpoint folder: a cut of lineage that survives lost executors.
+
+    As plain Parquet, which is written and read by column at a small part of what serialized rows
+    cost. Without compression or dictionaries the files are as large as the rows, so that the
+    planner doesn't take a large table for one to broadcast.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

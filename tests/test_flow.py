@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from support import array, heap_fill, ordered_area, ordered_length, receivers
 
 from talusgrid.components import components
-from talusgrid.grid import Grid, cells_of
-from talusgrid.operators import accumulate, doubling, fill, flow, profile
+from talusgrid.grid import Georef, Grid, cells_of
+from talusgrid.operators import accumulate, doubling, fill, flow, neighbours, profile
 from talusgrid.operators.regions import regions
+from talusgrid.plans import raster_queries
 from talusgrid.runtime import checkpointed
 
 GOLDEN = {
@@ -283,3 +284,26 @@ def test_sums_down_to_a_target_are_one_labelling(spark, monkeypatch):
     nodes = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0), (2, 3, 5.0), (3, 4, 7.0), (5, 6, 1.0), (6, 5, 1.0), (7, 99, 1.0)], "id long, j long, d double")
     got = {tuple(r) for r in doubling.path_to(nodes, ["d"], spark.createDataFrame([(2,)], "id long")).collect()}
     assert got == {(0, 2, 3, 10.0), (1, 2, 2, 8.0), (2, 2, 1, 5.0)} and len(kept) == 2
+
+
+def test_neighbours_of_any_type_with_gaps_over_tiles(spark):
+    cells = {(i, j): (i * 9 + j if (i + j) % 4 else None) for i in range(9) for j in range(7) if (i, j) != (4, 3)}
+    rows = [(i, j, None if v is None else (v, f"s{v}")) for (i, j), v in cells.items()]
+    g = Grid(spark.createDataFrame(rows, "row long, col long, value struct<n: long, s: string>"), Georef(7, 9))
+    found = neighbours.shifted(g, [("se", 1, 1), ("n2", -2, 0), ("w", 0, -1)], tile=4)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.row, r.col): [x and x.n for x in (r.value, r.se, r.n2, r.w)] for r in found.collect()}
+    assert got == {(i, j): [cells.get((i + a, j + b)) for a, b in ((0, 0), (1, 1), (-2, 0), (0, -1))] for i, j in cells}
+
+
+def test_rows_kept_on_the_way_have_their_true_size(spark):
+    kept = checkpointed(spark.range(1000).selectExpr("id", "1.5D AS v", "struct(id) AS s"))
+    size = kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert 16000 <= int(str(size)) <= 100000 and kept.count() == 1000
+
+
+def test_lengths_need_no_areas_and_lines_are_dealt_out(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    assert raster_queries.surface(spark, d).cells.rdd.getNumPartitions() == 4
+    monkeypatch.setattr(accumulate, "area", None)
+    assert raster_queries.longest_path(spark, d).count() > 0
