@@ -307,3 +307,16 @@ def test_lengths_need_no_areas_and_lines_are_dealt_out(spark, monkeypatch):
     assert raster_queries.surface(spark, d).cells.rdd.getNumPartitions() == 4
     monkeypatch.setattr(accumulate, "area", None)
     assert raster_queries.longest_path(spark, d).count() > 0
+
+
+def test_walks_along_a_tile_edge_stay_in_the_halo(spark, monkeypatch):
+    z = np.full((30, 30), 90.0)
+    for k in range(2, 28):
+        z[k, 10 + k % 2 - 1] = 60.0 - k  # a zigzag along the edge between two tiles
+    g = Grid.of_array(spark, z)
+    starts = spark.createDataFrame([(1, 2, 9)], "point long, row long, col long")
+    rounds = []
+    monkeypatch.setattr(fill, "tiled", lambda *a: rounds.append(a) or neighbours.tiled(*a))
+    far = [(r.seq, r.row, r.col) for r in fill.walks(g, starts, tile=10, halo=8).orderBy("seq").collect()]
+    assert len(far) > 25 and len(rounds) <= 4
+    assert far == [(r.seq, r.row, r.col) for r in fill.walks(g, starts, tile=64).orderBy("seq").collect()]
