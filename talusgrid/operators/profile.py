@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from talusgrid.functions import numeric
 from talusgrid.grid import Grid
 from talusgrid.operators import doubling
 from talusgrid.operators.accumulate import _cells
-from talusgrid.operators.flow import DIAGONAL_PATH, edges, outlet_ids, upstream_tree
-from talusgrid.runtime import checkpointed
+from talusgrid.operators.flow import DIAGONAL_PATH, DIRECTIONS, edges, outlet_ids, upstream_tree
+from talusgrid.operators.neighbours import tiled
+from talusgrid.runtime import checkpointed, partitions
 
 
 def _graph(area: Grid, directions: Grid) -> tuple[DataFrame, DataFrame]:
@@ -25,14 +28,123 @@ def _graph(area: Grid, directions: Grid) -> tuple[DataFrame, DataFrame]:
     return checkpointed(up), checkpointed(e.select(F.col("src").alias("id"), F.col("dst").alias("dn")))
 
 
-def window_paths(elevation: Grid, area: Grid, directions: Grid, vertical_interval: float | None = None, horizontal_interval: float | None = None, area_threshold: float = 0.0, centers: Column | None = None) -> DataFrame:
+#: Side of the tiles in which windows grow, and cells around them that a path may use before it goes on in rounds of joins.
+WINDOW_TILE, WINDOW_HALO = 512, 32
+
+_POINT = (("id", "long"), ("z", "double"), ("a", "double"), ("de", "double"), ("row", "long"), ("col", "long"))
+
+
+def _grown_in_tiles(elevation: Grid, area: Grid, directions: Grid, vertical: bool, interval: float, area_threshold: float, centers: Column | None, tile: int, halo: int) -> DataFrame:
+    """(center, points) of the paths that stay within a tile and its halo; points is NULL for those that leave it.
+
+    All paths of a tile move one step at a time, as arrays. Receivers and largest donors are
+    found in the tile; on its outermost cells donors may be missing, so that no path moves up from there.
+    """
+    geo = elevation.geo
+    chosen = F.expr("z is not null and a is not null") if centers is None else F.expr("z is not null and a is not null") & centers
+    cells = elevation.cells.select("row", "col", F.col("value").cast("double").alias("z"), geo.dimension().cast("double").alias("de"))
+    cells = cells.join(area.cells.select("row", "col", F.col("value").cast("double").alias("a"), F.lit(True).alias("drained")), ["row", "col"], "full")
+    cells = cells.join(directions.cells.select("row", "col", F.col("value").cast("int").alias("code")), ["row", "col"], "full")
+    cells = cells.select("row", "col", "z", "a", "de", F.coalesce("drained", F.lit(False)).alias("drained"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce(chosen, F.lit(False)).alias("center"))
+    nx, ny = geo.nx, geo.ny
+    schema = f"center long, points array<struct<{', '.join(f'{n}: {t}' for n, t in _POINT)}>>"
+
+    def run(table: pa.Table) -> pa.Table:
+        def values(name: str) -> tuple[np.ndarray, np.ndarray]:
+            column = table.column(name).combine_chunks()
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            return (column if there.all() else column.fill_null(0)).to_numpy(zero_copy_only=False), there
+
+        r, c = values("row")[0], values("col")[0]
+        (z, has_z), (a, has_a), (de, has_de) = values("z"), values("a"), values("de")
+        code, drained = values("code")[0], values("drained")[0]
+        there = has_de & drained
+        top, left = r.min() - 1, c.min() - 1
+        place = np.full((r.max() - top + 2, c.max() - left + 2), -1)
+        place[r - top, c - left] = np.arange(len(r))
+        # where each cell flows to: a place, -1 for none, -2 for one out of sight
+        to_r, to_c = r.copy(), c.copy()
+        flows = np.zeros(len(r), bool)
+        for _, k, i, j in DIRECTIONS:
+            on = code == k
+            to_r[on] += i
+            to_c[on] += j
+            flows |= on
+        flows &= (to_r >= 0) & (to_r < ny) & (to_c >= 0) & (to_c < nx)
+        dn = np.full(len(r), -1)
+        dn[flows] = place[to_r[flows] - top, to_c[flows] - left]
+        dn[flows & (dn < 0)] = -2
+        # the last donor by area and id
+        src = np.flatnonzero((dn >= 0) & drained)
+        src = src[np.lexsort((r[src] * nx + c[src], a[src], has_a[src]))]
+        up = np.full(len(r), -1)
+        up[dn[src]] = src
+        low_r, high_r, low_c, high_c = r.min(), r.max(), c.min(), c.max()
+        up[((r == low_r) & (r > 0)) | ((r == high_r) & (r < ny - 1)) | ((c == low_c) & (c > 0)) | ((c == high_c) & (c < nx - 1))] = -2
+
+        def leg(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return np.where((r[p] == r[q]) | (c[p] == c[q]), 1.0, DIAGONAL_PATH)
+
+        def seen(d: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which of the ends are cells of the grid, and which are out of sight while the other may be a cell."""
+            good_d, good_u = (d >= 0) & there[d], (u >= 0) & there[u]
+            return good_d & good_u, ((d == -2) & (good_u | (u == -2))) | ((u == -2) & good_d)
+
+        center = np.flatnonzero(values("center")[0] & values("own")[0])
+        d, u = dn[center], up[center]
+        both, lost = seen(d, u)
+        left_out = [center[lost]]
+        met = [center[both]]  # the places met so far by those that still grow, a row for each end and round
+        center, d, u = center[both], d[both], u[both]
+        length = (leg(d, center) + leg(u, center)) * de[center]
+        done: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        while len(center):
+            met = [d, *met, u]
+            extent, known = (z[u] - z[d], has_z[u] & has_z[d]) if vertical else (length, np.ones(len(u), bool))
+            grows = known & (extent < interval) & has_a[u] & ~(a[u] <= area_threshold)
+            done.append((center[~grows], [m[~grows] for m in met]))
+            center, d, u, length, met = center[grows], d[grows], u[grows], length[grows], [m[grows] for m in met]
+            to_d, to_u = dn[d], up[u]
+            both, lost = seen(to_d, to_u)
+            left_out.append(center[lost])
+            go = both & (to_d != to_u)
+            more = leg(to_d[go], d[go]) * de[to_d[go]] + leg(to_u[go], u[go]) * de[to_u[go]]
+            length = length[go] + more
+            center, d, u, met = center[go], to_d[go], to_u[go], [m[go] for m in met]
+        lost = np.concatenate(left_out)
+        starts = np.concatenate([lost, *[x for x, _ in done]])
+        sizes = np.concatenate([np.zeros(len(lost), np.int64), *[np.full(len(x), len(m)) for x, m in done]])
+        flat = np.concatenate([np.zeros(0, np.int64), *[np.stack(m, 1).ravel() for _, m in done]])
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        columns = [pa.array(r[flat] * nx + c[flat]), pa.array(z[flat], mask=~has_z[flat]), pa.array(a[flat], mask=~has_a[flat]), pa.array(de[flat]), pa.array(r[flat]), pa.array(c[flat])]
+        points = pa.StructArray.from_arrays(columns, names=[n for n, _ in _POINT])
+        return pa.table({"center": r[starts] * nx + c[starts], "points": pa.ListArray.from_arrays(pa.array(ends), points, mask=pa.array(sizes == 0))})
+
+    return tiled(cells, halo, halo, tile).groupBy("tr", "tc").applyInArrow(run, schema)
+
+
+def window_paths(elevation: Grid, area: Grid, directions: Grid, vertical_interval: float | None = None, horizontal_interval: float | None = None, area_threshold: float = 0.0, centers: Column | None = None, tile: int = WINDOW_TILE, halo: int = WINDOW_HALO) -> DataFrame:
     """(center, points): the path around each cell, from downstream to upstream, as points (id, z, a, de, row, col).
 
     From the cell's receiver and its largest donor both ends move one step at a time until the
     drop or the length between them reaches the interval, or the area at the upper end is no
-    more than the threshold. Cells whose ends run out or meet have no path. The cells still
-    growing shrink every round; a round is two joins, which carry the two ends alone, and the
-    points that the rounds met are put together once, at the end.
+    more than the threshold. Cells whose ends run out or meet have no path. Paths grow in tiles
+    with a halo, one shuffle; only those that leave it go in rounds of joins.
+    """
+    vertical = vertical_interval is not None
+    interval = vertical_interval if vertical else horizontal_interval
+    near = checkpointed(_grown_in_tiles(elevation, area, directions, vertical, interval, area_threshold, centers, tile, halo))
+    whole, far = near.where("points is not null"), near.where("points is null").select("center")
+    if far.isEmpty():
+        return whole
+    return whole.unionByName(_grown_by_joins(elevation, area, directions, vertical, interval, area_threshold, far))
+
+
+def _grown_by_joins(elevation: Grid, area: Grid, directions: Grid, vertical: bool, interval: float, area_threshold: float, centers: DataFrame) -> DataFrame:
+    """As ``window_paths`` for the given centers, wherever their paths lead.
+
+    The cells still growing shrink every round; a round is two joins, which carry the two ends
+    alone, and the points that the rounds met are put together once, at the end.
     """
     geo = elevation.geo
     info = elevation.cells.select("row", "col", geo.cell_id().alias("id"), F.col("value").alias("z"), geo.dimension().alias("de")).join(_cells(area, "a"), "id")
@@ -47,12 +159,10 @@ def window_paths(elevation: Grid, area: Grid, directions: Grid, vertical_interva
     def leg(a: Column, b: Column) -> Column:
         return F.when((a["row"] == b["row"]) | (a["col"] == b["col"]), 1.0).otherwise(DIAGONAL_PATH)
 
-    start = info.where("z is not null and a is not null" if centers is None else F.expr("z is not null and a is not null") & centers)
-    start = start.select(F.col("id").alias("center"), point.alias("c"))
+    start = info.join(centers.select(F.col("center").alias("id")), "id", "left_semi").select(F.col("id").alias("center"), point.alias("c"))
     state = start.join(up_p.withColumnRenamed("at", "center"), "center").join(dn_p.withColumnRenamed("at", "center"), "center")
     state = state.select("center", F.col("dn_p").alias("d"), F.col("up_p").alias("u"), ((leg(F.col("dn_p"), F.col("c")) + leg(F.col("up_p"), F.col("c"))) * F.col("c.de")).alias("length"))
-    extent = (F.col("u.z") - F.col("d.z")) if vertical_interval is not None else F.col("length")
-    interval = vertical_interval if vertical_interval is not None else horizontal_interval
+    extent = (F.col("u.z") - F.col("d.z")) if vertical else F.col("length")
 
     def met(at: int, point: str) -> Column:
         return F.struct(F.lit(at).alias("at"), F.col(point).alias("p"))
@@ -110,7 +220,7 @@ def ks_of_paths(paths: DataFrame, theta: float, compat: bool = True) -> DataFram
 
 def ks_with_smoothing(elevation: Grid, area: Grid, directions: Grid, theta: float, vertical_interval: float | None = None, horizontal_interval: float | None = None, area_threshold: float = 0.0, compat: bool = True) -> Grid:
     """Bands value (ks), n (paths that touch a cell), mse, ss, r2, pval, n_regression for cells above the area threshold."""
-    paths = checkpointed(window_paths(elevation, area, directions, vertical_interval, horizontal_interval, area_threshold, F.col("a") > area_threshold))
+    paths = window_paths(elevation, area, directions, vertical_interval, horizontal_interval, area_threshold, F.col("a") > area_threshold)
     return _with_visits(elevation, paths, ks_of_paths(paths, theta, compat).withColumnRenamed("ks", "value"))
 
 
@@ -121,36 +231,53 @@ def _with_visits(elevation: Grid, paths: DataFrame, fits: DataFrame) -> Grid:
     return Grid(rows.select("row", "col", "value", F.coalesce("n", F.lit(0)).alias("n"), "mse", "ss", "r2", "pval", F.coalesce("n_regression", F.lit(0)).alias("n_regression")), geo)
 
 
-def _chi_of(area: np.ndarray, de: np.ndarray, bent: np.ndarray, theta: float) -> np.ndarray:
-    a = area**-theta
-    return np.concatenate(([0.0], np.cumsum(0.25 * (a[1:] + a[:-1]) * (de[1:] + de[:-1]) * bent[1:])))
+def _chi_of(area: np.ndarray, de: np.ndarray, bent: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """chi along paths of one length, a row each, for each path's theta."""
+    a = area ** -theta[:, None]
+    return np.concatenate((np.zeros((len(a), 1)), np.cumsum(0.25 * (a[:, 1:] + a[:, :-1]) * (de[:, 1:] + de[:, :-1]) * bent[:, 1:], axis=1)), axis=1)
 
 
 def theta_with_smoothing(elevation: Grid, area: Grid, directions: Grid, min_area: float, vertical_interval: float | None = None, horizontal_interval: float | None = None, compat: bool = True) -> Grid:
     """As ``ks_with_smoothing`` with the concavity theta that leaves the least squares, searched from 0.5 within +-10."""
-    paths = checkpointed(window_paths(elevation, area, directions, vertical_interval, horizontal_interval, min_area, F.col("a") > min_area))
+    paths = window_paths(elevation, area, directions, vertical_interval, horizontal_interval, min_area, F.col("a") > min_area)
     flat = paths.select("center", *[F.col(f"points.{c}").cast("array<double>").alias(c) for c in ("z", "a", "de", "row", "col")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                y, n = np.asarray(r.z) - r.z[0], len(r.z)
-                turn = (np.diff(r.row) != 0) & (np.diff(r.col) != 0)
-                bent = np.ones(n)
-                bent[1:-1][turn[1:]] = DIAGONAL_PATH
-                if not compat:
-                    bent = np.concatenate(([1.0], np.where(turn, DIAGONAL_PATH, 1.0)))
-                a, de = np.asarray(r.a), np.asarray(r.de)
-                cost = lambda t, a=a, de=de, bent=bent, y=y: numeric.through_origin(_chi_of(a, de, bent, t), y)[1] if abs(t) <= 10 else np.inf
-                theta, ss, _ = numeric.nelder_mead(cost, 0.5)
-                chi = _chi_of(a, de, bent, theta)
-                k, yy, xx = numeric.through_origin(chi, y)[0], float(y @ y), float(chi @ chi)
-                t = abs(k) / np.sqrt(ss / (n - 1) / xx) if ss > 0 and xx > 0 else np.inf
-                out.append((r.center, theta, ss / n, ss, 1 - ss / yy if yy else np.nan, numeric.t_two_sided(t, n - 1), n))
-            yield pd.DataFrame(out, columns=["center", "value", "mse", "ss", "r2", "pval", "n_regression"])
-
-    fits = flat.mapInPandas(run, "center long, value double, mse double, ss double, r2 double, pval double, n_regression int")
+    def fitted(rows: pa.Table, n: int) -> pa.RecordBatch:
+        z, a, de, row, col = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in ("z", "a", "de", "row", "col"))
+        y = z - z[:, :1]
+        turn = (np.diff(row, axis=1) != 0) & (np.diff(col, axis=1) != 0)
+        bent = np.ones(z.shape)
+        if compat:
+            bent[:, 1:-1][turn[:, 1:]] = DIAGONAL_PATH
+        else:
+            bent[:, 1:][turn] = DIAGONAL_PATH
+
+        def cost(theta: np.ndarray, at: np.ndarray) -> np.ndarray:
+            out = np.full(len(theta), np.inf)
+            ok = np.abs(theta) <= 10
+            at = at[ok]
+            with np.errstate(all="ignore"):
+                out[ok] = numeric.through_origin_rows(_chi_of(a[at], de[at], bent[at], theta[ok]), y[at])[1]
+            return out
+
+        theta, ss = numeric.nelder_mead_rows(cost, 0.5, len(z))
+        with np.errstate(all="ignore"):
+            chi = _chi_of(a, de, bent, theta)
+            k, yy, xx = numeric.through_origin_rows(chi, y)[0], numeric.dot_rows(y, y), numeric.dot_rows(chi, chi)
+            t = np.where((ss > 0) & (xx > 0), np.abs(k) / np.sqrt(ss / (n - 1) / xx), np.inf)
+            r2 = np.where(yy != 0, 1 - ss / yy, np.nan)
+        pval = np.array([numeric.t_two_sided(x, n - 1) for x in t.tolist()], float)
+        return pa.record_batch([rows.column("center").combine_chunks(), *[pa.array(v, from_pandas=True) for v in (theta, ss / n, ss, r2, pval)], pa.array(np.full(len(z), n, np.int32))], names=["center", "value", "mse", "ss", "r2", "pval", "n_regression"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            sizes = pa.compute.list_value_length(rows.column("z")).to_numpy()
+            for n in np.unique(sizes):
+                yield fitted(rows.take(pa.array(np.flatnonzero(sizes == n))), int(n))
+
+    # searches are dealt out evenly: paths lie together where the channels are
+    fits = flat.repartition(partitions(elevation.spark), "center").mapInArrow(run, "center long, value double, mse double, ss double, r2 double, pval double, n_regression int")
     return _with_visits(elevation, paths, fits)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from support import array, heap_fill, ordered_area, ordered_length, receivers
 
 from talusgrid.components import components
+from talusgrid.functions import numeric
 from talusgrid.grid import Georef, Grid, cells_of
 from talusgrid.operators import accumulate, doubling, fill, flow, neighbours, profile
 from talusgrid.operators.regions import regions
@@ -309,6 +310,37 @@ def test_lengths_need_no_areas_and_lines_are_dealt_out(spark, monkeypatch):
     assert raster_queries.longest_path(spark, d).count() > 0
 
 
+@pytest.mark.parametrize("interval", [{"vertical_interval": 14.0}, {"horizontal_interval": 9.0}])
+def test_windows_by_tiles_equal_those_by_joins(spark, monkeypatch, interval):
+    z = np.random.default_rng(8).integers(0, 50, (23, 19)).astype(float)
+    z[3, 4] = z[15, 11] = np.nan
+    g = Grid.of_array(spark, z, dx=2.0)
+    fd = Grid(checkpointed(flow.flow_direction(g).cells), g.geo)
+    area = Grid(checkpointed(accumulate.area(fd, g).cells), g.geo)
+
+    def paths(**size):
+        return {r.center: [tuple(p) for p in r.points] for r in profile.window_paths(g, area, fd, **interval, **size).collect()}
+
+    joins, sent = profile._grown_by_joins, []
+    monkeypatch.setattr(profile, "_grown_by_joins", lambda *a: sent.append(a[-1].count()) or joins(*a))
+    whole = paths()
+    assert len(whole) > 20 and not sent  # no path leaves the one tile, and no join is needed
+    few = paths(tile=5, halo=2)
+    assert few == whole and 0 < sent[0] < z.size
+    every = checkpointed(g.cells.where("value is not null").select(g.geo.cell_id().alias("center")))
+    vertical = "vertical_interval" in interval
+    plain = joins(g, area, fd, vertical, *interval.values(), 0.0, every)
+    assert {r.center: [tuple(p) for p in r.points] for r in plain.collect()} == whole
+
+
+def test_searches_in_step_equal_single_ones():
+    goals = np.random.default_rng(2).normal(0, 3, 300)
+    costs = lambda x, at: np.where(np.abs(x) <= 10, np.abs(x - goals[at]) ** 1.5 + np.sin(x), np.inf)
+    x, f = numeric.nelder_mead_rows(costs, 0.5, len(goals))
+    single = [numeric.nelder_mead(lambda t, k=k: costs(np.array([t]), np.array([k]))[0], 0.5) for k in range(len(goals))]
+    assert x.tolist() == [s[0] for s in single] and f.tolist() == [s[1] for s in single]
+
+
 def test_walks_along_a_tile_edge_stay_in_the_halo(spark, monkeypatch):
     z = np.full((30, 30), 90.0)
     for k in range(2, 28):
