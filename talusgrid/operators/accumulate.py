@@ -218,7 +218,8 @@ def _valley(laplace: Grid, area_grid: Grid, valley_laplace: float, least_area: f
 
 def valley_area(directions: Grid, order: Grid, area_grid: Grid, laplace: Grid, valley_laplace: float, least_area: float, iterations: int | None = None) -> Grid:
     """Area gathered over valley cells only: those of a Laplacian of at least the value that connect to a channel."""
-    return area(directions, order, _valley(laplace, area_grid, valley_laplace, least_area, iterations))
+    valley = checkpointed(_valley(laplace, area_grid, valley_laplace, least_area, iterations).cells)
+    return area(directions, order, Grid(valley, directions.geo))
 
 
 def mainstem_valley_area(directions: Grid, order: Grid, area_grid: Grid, laplace: Grid, valley_laplace: float, least_area: float, length: Grid, iterations: int | None = None) -> Grid:

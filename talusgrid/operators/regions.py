@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talusgrid.components import components
 from talusgrid.grid import Grid
+from talusgrid.operators.doubling import ONE_TASK
 from talusgrid.operators.neighbours import EIGHT, TILE, shifted
 from talusgrid.runtime import checkpointed
 
@@ -45,13 +47,30 @@ def _label(nx: int, diagonal: bool):
     return run
 
 
+def _joined(links: pa.Table) -> pa.Table:
+    """(node, component) of links (a, b) between labels: the smallest node that each leads to."""
+    a, b = (links.column(c).to_numpy() for c in ("a", "b"))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(on := np.flatnonzero(root[a] != root[b])):
+        p, q = root[a[on]], root[b[on]]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    return pa.table({"node": nodes, "component": nodes[root]})
+
+
 def regions(grid: Grid, diagonal: bool = False) -> DataFrame:
     """(row, col, value, region) of cells with data: region is the smallest cell id of the connected cells of equal value."""
     geo = grid.geo
     data = grid.cells.where("value is not null").select("row", "col", "value")
     local = checkpointed(data.groupBy(F.floor(F.col("row") / TILE), F.floor(F.col("col") / TILE)).applyInPandas(_label(geo.nx, diagonal), "row long, col long, value double, label long"))
     ways = [o for o in EIGHT if diagonal or not (o[1] and o[2])]
-    pair = shifted(Grid(local.select("row", "col", F.struct("value", "label").alias("value")), geo), ways)
+    # within a tile cells of equal value that touch have one label: only those on its edge can touch others
+    edge = F.pmod(F.col("row"), F.lit(TILE)).isin(0, TILE - 1) | F.pmod(F.col("col"), F.lit(TILE)).isin(0, TILE - 1)
+    pair = shifted(Grid(local.where(edge).select("row", "col", F.struct("value", "label").alias("value")), geo), ways)
     touching = pair.select("value", F.explode(F.array(*[F.col(n) for n, _, _ in ways])).alias("o")).where("o is not null and o.value = value.value and o.label <> value.label")
-    names = components(touching.select(F.col("value.label").alias("a"), F.col("o.label").alias("b")), checkpointed)
+    links = checkpointed(touching.select(F.col("value.label").alias("a"), F.col("o.label").alias("b")).distinct())
+    names = links.groupBy(F.lit(0).alias("one")).applyInArrow(_joined, "node long, component long") if links.count() <= ONE_TASK else components(links, checkpointed)
     return local.join(names, local["label"] == names["node"], "left").select("row", "col", "value", F.coalesce("component", "label").alias("region"))

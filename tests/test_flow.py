@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from support import array, heap_fill, ordered_area, ordered_length, receivers
@@ -7,7 +8,7 @@ from talusgrid.components import components
 from talusgrid.functions import numeric
 from talusgrid.grid import Georef, Grid, cells_of
 from talusgrid.operators import accumulate, doubling, fill, flow, neighbours, profile
-from talusgrid.operators.regions import regions
+from talusgrid.operators.regions import _joined, regions
 from talusgrid.plans import raster_queries
 from talusgrid.runtime import checkpointed
 
@@ -352,3 +353,18 @@ def test_walks_along_a_tile_edge_stay_in_the_halo(spark, monkeypatch):
     far = [(r.seq, r.row, r.col) for r in fill.walks(g, starts, tile=10, halo=8).orderBy("seq").collect()]
     assert len(far) > 25 and len(rounds) <= 4
     assert far == [(r.seq, r.row, r.col) for r in fill.walks(g, starts, tile=64).orderBy("seq").collect()]
+
+
+def test_valley_is_found_once(spark, basin, monkeypatch):
+    calls = []
+    monkeypatch.setattr(accumulate, "area", lambda d, o, on: calls.append(on.cells._jdf.queryExecution().optimizedPlan().toString()) or on)
+    g = basin[1]
+    zero = g.map(F.lit(0.0))
+    accumulate.valley_area(g, g, zero, zero, 0.0, -1.0, 1)
+    assert "Join" not in calls[0] and "Generate" not in calls[0]
+
+
+def test_few_labels_are_joined_in_one_task():
+    a = np.arange(499) * 7
+    got = _joined(pa.table({"a": np.append(a, 9001), "b": np.append(a + 7, 9000)})).to_pydict()
+    assert dict(zip(got["node"], got["component"], strict=True)) == {7 * i: 0 for i in range(500)} | {9000: 9000, 9001: 9000}
